@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat
+from tessera.llm import chat, quality, sharding
 
-QUERIES = {"op1_chat": chat.op1_chat}
-ORACLES = {"op1_chat": chat.OP1_SQL}
+QUERIES = {
+    "op1_chat": chat.op1_chat,
+    "op6_sharding": sharding.op6_sharding,
+    "op10_quality": quality.op10_quality,
+}
+ORACLES = {"op1_chat": chat.OP1_SQL, "op10_quality": quality.OP10_SQL}
