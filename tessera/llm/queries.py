@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, packing, quality, sharding, tokenfile
+from tessera.llm import chat, decontaminate, jaccard, packing, quality, sharding, tokenfile
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_tokenfile": tokenfile.op3_tokenfile,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op6_sharding": sharding.op6_sharding,
     "op7_packing": packing.op7_packing,
     "op10_quality": quality.op10_quality,
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLES = {
     "op1_chat": chat.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op4_jaccard": jaccard.OP4_SQL,
     "op10_quality": quality.OP10_SQL,
 }
