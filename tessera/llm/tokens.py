@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import functools
+from array import array
+from operator import attrgetter
 
 import numpy as np
 
 #: Pieces that a worker remembers, and the longest of them in bytes; both bound its memory, neither changes ids.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 #: Marks that a byte-level pattern keeps together after a word.
 ENDS = ".,;:!?#$%&*|"
 
 
+ID = attrgetter("id")
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed, else one of those
     from U+0100 on, in order."""
@@ -32,14 +37,18 @@ class _Pieces(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8")
-        if (not text and self.lead) or text[-1:].isspace() or (self.lead and text[:1].isspace()):
-            raise _Whole
+        text, parts = piece.decode("utf-8"), self.encoder.parts
         word = text.rstrip(ENDS)
         if word.isalpha():
-            ids = self.encoder.parts[self.lead + word] + self.encoder.parts[text[len(word) :]]
+            ids = parts[self.lead + word] + parts[text[len(word) :]]
+        elif (not text and self.lead) or text[-1:].isspace() or (self.lead and text[:1].isspace()):
+            raise _Whole
         else:
-            ids = self.encoder.library(self.lead + text)
+            above, _, below = text.partition("\n")
+            if above and below and not (above[-1].isspace() or below[0].isspace()):
+                ids = self[above.encode()] + parts["\n"] + self.encoder.first[below.encode()]
+            else:
+                ids = self.encoder.library(self.lead + text)
         if len(self) < REMEMBERED and len(piece) <= LONGEST:
             self[piece] = ids
         return ids
@@ -55,7 +64,7 @@ class _Parts(dict):
 
     def __missing__(self, part: str) -> bytes:
         found = self.tokenize(part.encode().decode("latin-1").translate(self.letters))
-        ids = np.array([t.id for t in found], self.dtype).tobytes()
+        ids = array(self.dtype.char, map(ID, found)).tobytes()
         if len(self) < REMEMBERED and len(part) <= LONGEST:
             self[part] = ids
         return ids
@@ -66,8 +75,9 @@ class Encoder:
 
     A byte-level BPE splits a text by a pattern before it merges, and where a single space stands between two
     characters that are no white space the pattern always starts a new part at the space. So a text is cut at such
-    spaces and each distinct piece is encoded once; letters with marks after them make two parts of the pattern. Texts
-    with other spaces, or with a special token's string, are encoded whole."""
+    spaces and each distinct piece is encoded once; letters with marks after them make two parts of the pattern, and a
+    single line feed between two characters that are no white space is a part of its own. Texts with other spaces, or
+    with a special token's string, are encoded whole."""
 
     def __init__(self, path: str):
         import os
@@ -76,7 +86,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "u4")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts = _Parts(self)
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
