@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, jaccard, packing, quality, sharding, tokenfile
+from tessera.llm import chat, decontaminate, extract, jaccard, packing, quality, sharding, tokenfile, urls
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_jaccard": jaccard.op4_jaccard,
     "op6_sharding": sharding.op6_sharding,
     "op7_packing": packing.op7_packing,
+    "op8_extract": extract.op8_extract,
+    "op9_urls": urls.op9_urls,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
