@@ -5,10 +5,11 @@ sets link where ``100 * intersection >= percent * union``. The steps:
 
 1. Equal sets are one class, by a 128-bit digest; all that follows works on classes, so copies cost nothing more.
 2. Candidate groups. A pair that links differs in at most ``3 / 37`` (at 85 %) of its two sizes together. The hash range
-   is cut into more parts than that, so some non-empty part must be the same in both sets. Each set sends one hash per
-   non-empty part; sets with an equal hash are joined by star edges (never all pairs), and the components of these
-   edges are the groups. Sets whose empty parts could be the only equal ones also send their prefix (the least hashes,
-   one by one), which two such sets must share. This loses no pair: it is a bound, not a chance.
+   is cut into so many parts that nearly every set has more parts of two or more shingles than that bound; then one of
+   them must be the same in both. Each set sends one hash for each such part; sets with an equal hash are joined by star
+   edges (never all pairs), and the components of these edges are the groups. Parts of one shingle are not sent: texts
+   of one language share single shingles by chance. Sets with too few larger parts also send their prefix (the least
+   hashes, one by one), which two such sets must share. This loses no pair: it is a bound, not a chance.
 3. Search. The sets of a group meet in one task and each is looked up in the inverted lists of the others. A partner
    must occur on T of the lists. DivideSkip: the L longest lists are put aside, the short ones are merged by a heap that
    skips ahead (T - L occurrences make a candidate), and candidates are looked up in the long ones by binary search.
@@ -28,7 +29,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
-from math import log
+from math import exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, blocks, delete, scratch
 from tessera.llm.components import components
 
-#: Empty parts that a set may have before it sends its prefix too, and the ratio of the bounds of size classes.
-SPARE, RATIO = 2, 1.5
+#: The ratio of the bounds of size classes.
+RATIO = 1.2
 U = np.uint64
 
 
@@ -98,8 +99,21 @@ class Scheme:
             bounds.append(int(bounds[-1] * RATIO) + 1)
         self.bounds = np.array(bounds, np.int64)
         largest = self.bounds[1:] - 1
-        together = largest + largest * 100 // percent
-        self.parts = together * (100 - percent) // (100 + percent) + 1 + SPARE
+        #: how many shingles may differ, and the number of parts
+        self.differ = (largest + largest * 100 // percent) * (100 - percent) // (100 + percent)
+        self.parts = np.array([self._parts(int(n), int(d)) for n, d in zip(self.bounds, self.differ)], np.int64)
+
+    @staticmethod
+    def _parts(n: int, differ: int) -> int:
+        """As many parts as leave the smallest sets of a class, by their mean less three deviations, enough parts of two
+        shingles or more."""
+        parts = differ + 3
+        while parts < 3 * differ + 20:
+            few = parts * exp(-n / parts) * (1 + n / parts)
+            if parts - few - 3 * sqrt(few) >= differ + 1:
+                break
+            parts += max(1, parts // 100)
+        return parts
 
     def least(self, n: np.ndarray) -> np.ndarray:
         """The least size of a partner."""
@@ -114,12 +128,14 @@ class Scheme:
         home = np.searchsorted(self.bounds, sizes, "right") - 1
         lower = np.maximum(np.searchsorted(self.bounds, self.least(sizes), "right") - 1, 0)
         sigs, owners = [], []
-        for which, chosen in ((home, np.arange(len(keep))), (lower, np.flatnonzero(lower < home))):
+        which = home.copy()
+        while len(chosen := np.flatnonzero(which >= lower)):
             for piece in np.array_split(chosen, max(1, int(sizes[chosen].sum()) >> 20)):
                 if len(piece):
                     s, o = self._scheme([sets[keep[k]] for k in piece], which[piece])
                     sigs.append(s)
                     owners.append(np.array(keep)[piece[o]])
+            which = which - 1  # as the larger of two sets
         return np.concatenate(sigs), np.concatenate(owners)
 
     def _scheme(self, sets: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +148,10 @@ class Scheme:
         at = np.flatnonzero(new)
         salt = which[owner[at]].astype(U) << U(48) ^ part[at]
         sig = mixed(np.add.reduceat(mixed(flat ^ U(0xA5A5A5A5)), at) ^ mixed(salt + U(1)))
-        sigs, owners = [sig], [owner[at]]
-        empty = parts - np.bincount(owner[at], minlength=len(sets))
-        for k in np.flatnonzero(empty > SPARE):
+        large = np.diff(at, append=len(flat)) > 1
+        sigs, owners = [sig[large]], [owner[at[large]]]
+        enough = np.bincount(owners[0], minlength=len(sets)) > self.differ[which]
+        for k in np.flatnonzero(~enough):
             prefix = sets[k][: sizes[k] - self.least(sizes[k]) + 1]
             sigs.append(mixed(prefix ^ mixed(np.array([(int(which[k]) << 48) + (1 << 47)], U))))
             owners.append(np.full(len(prefix), k))
@@ -311,7 +328,7 @@ def _searched(members: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def link_components(
-    docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 20
+    docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 22
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
