@@ -6,8 +6,9 @@ Each line is judged by three rules; lines that fail are removed; a document that
 * navigation: two or more separators (``| › » • · / >`` standing alone) for at least 1 in 4 words;
 * boilerplate: a fixed phrase (cookie notices, rights, subscriptions, scripts) in a line of 30 words or fewer.
 
-A document is rejected where the lines that stay hold less than ``least_kept`` of its word characters. The base rules
-come before: fewer than ``least_words`` words, or more than ``most_repeated`` of the words in repeated windows.
+A document is rejected where no line stays, or where the lines that the first two rules remove leave less than
+``least_kept`` of its word characters; a notice below a short text is removed, but is no fault of the text. The base
+rules come before: fewer than ``least_words`` words, or more than ``most_repeated`` of the words in repeated windows.
 
 Nulls and empty texts have no words, all counts 0, and are rejected. Rows are judged one by one, so ties and repeated
 rows get equal results; an empty table gives an empty result. Columns named like a result are replaced by it. Work is
@@ -78,14 +79,14 @@ def repeated_words(word: Column) -> Column:
 
 
 def line_fails(line: Column, n: Column) -> Column:
-    """A line with n words, n at least 1."""
+    """Punctuation and navigation rules for a line with n words, n at least 1."""
     marks = F.length(line) - _without(line, MARKS)
     separators = F.regexp_count(line, F.lit(SEPARATOR))
-    return (
-        (marks * 10 > n * 3)
-        | (line.contains("|") | line.rlike("[›»•·/>]")) & (separators >= 2) & (separators * 4 >= n)
-        | ((n <= 30) & line.rlike(BOILERPLATE))
-    )
+    return (marks * 10 > n * 3) | (line.rlike("[|›»•·/>]") & (separators >= 2) & (separators * 4 >= n))
+
+
+def is_notice(line: Column, n: Column) -> Column:
+    return (n <= 30) & line.rlike(BOILERPLATE)
 
 
 def with_quality(
@@ -95,7 +96,18 @@ def with_quality(
     ``most_repeated`` and ``least_kept`` are percentages. ``clean``: also clean_text, the lines that stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
-    good = F.filter(lines, lambda x: ~line_fails(x, F.size(F.split(F.btrim(x, F.lit(SPACE)), GAP, -1))))
+    size = lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE)), GAP, -1))
+    chars = lambda x: _without(x, SPACE).cast("long")
+    fair = F.filter(lines, lambda x: ~line_fails(x, size(x)))
+
+    def by_rules(x: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        good = F.filter(x, lambda y: ~is_notice(y, size(y)))
+        return F.struct(
+            F.aggregate(x, zero, lambda a, y: a + chars(y)).alias("fair"),
+            F.aggregate(good, zero, lambda a, y: a + chars(y)).alias("kept"),
+            *([F.array_join(good, "\n").alias("text")] if clean else []),
+        )
 
     def by_words(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r"))
@@ -109,15 +121,19 @@ def with_quality(
             "n_dup_lines": let(lines, by_lines),
             "word_chars": _without(text, SPACE).cast("long"),
             "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
-            "kept_chars": F.aggregate(good, F.lit(0).cast("long"), lambda a, x: a + _without(x, SPACE)),
+            "_l": let(fair, by_rules),
         }
     )
-    judged = judged.withColumns({"n_words": F.col("_w.n"), "n_repeat_words": F.col("_w.r")}).drop("_w")
+    named = {"n_words": F.col("_w.n"), "n_repeat_words": F.col("_w.r"), "kept_chars": F.col("_l.kept")}
+    if clean:
+        named["clean_text"] = F.col("_l.text")
+    judged = judged.withColumns(named)
     judged = judged.withColumn(
         "base_failed",
         (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")),
-    ).withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_chars") >= least_kept * F.col("word_chars")))
-    return judged.withColumn("clean_text", F.array_join(good, "\n")) if clean else judged
+    )
+    enough = (F.col("kept_chars") > 0) & (100 * F.col("_l.fair") >= least_kept * F.col("word_chars"))
+    return judged.withColumn("kept", ~F.col("base_failed") & enough).drop("_w", "_l")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,20 +167,19 @@ WITH w AS (
     length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS c
   FROM (SELECT r, unnest(ls) AS l FROM w)
 ), stay AS (
-  SELECT r, sum(c) AS c FROM line
-  WHERE NOT (marks * 10 > n * 3 OR len(sep) >= 2 AND len(sep) * 4 >= n OR n <= 30 AND regexp_matches(l,
-    '(?i)(cookie policy|use of cookies|uses cookies|accept cookies|privacy policy|terms of (use|service)|all rights reserved|licensed under|sign (in|up) (now|here)|subscribe to|newsletter|click here|enable javascript|lorem ipsum)'))
-  GROUP BY r
+  SELECT r, sum(c) AS fair, sum(CASE WHEN n <= 30 AND regexp_matches(l,
+    '(?i)(cookie policy|use of cookies|uses cookies|accept cookies|privacy policy|terms of (use|service)|all rights reserved|licensed under|sign (in|up) (now|here)|subscribe to|newsletter|click here|enable javascript|lorem ipsum)')
+    THEN 0 ELSE c END) AS c FROM line WHERE NOT (marks * 10 > n * 3 OR len(sep) >= 2 AND len(sep) * 4 >= n) GROUP BY r
 ), base AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(stay.c, 0) AS c
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(stay.c, 0) AS c, coalesce(fair, 0) AS fair
   FROM w LEFT JOIN rep USING (r) LEFT JOIN stay USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * c >= 50 * word_chars AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND c > 0 AND 100 * fair >= 50 * word_chars AS kept
 FROM base
 """
