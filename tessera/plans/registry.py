@@ -1,6 +1,749 @@
-"""Named queries over the test tables, each with the DuckDB SQL of the same rows."""
+"""Named queries over the test tables, each with the DuckDB SQL of the same rows.
+
+``rec`` are records made of documents, ``rec_part`` address-like records made of parts; see fixtures."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import assign, blocking, export, features, metrics, models, ranking, retrieval
+from tessera.plans import fixtures, pipeline
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+REC, PART = fixtures.norm_sql(fixtures.REC), fixtures.norm_sql(fixtures.REC_PART)
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query and its SQL under a name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _norm(view: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.normalized(view(spark, sf_dir))
+
+
+def _sources(view: Callable, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return fixtures.sources(view(spark, sf_dir))
+
+
+# normalization
+
+TEN = "entity_id, raw_name, raw_address, raw_country, country_clean, name_clean, name_legal, name_no_suffix, addr_clean, postal_code"
+for _name, _view, _sql in (("norm_rec", fixtures.rec, REC), ("norm_part", fixtures.rec_part, PART)):
+    query(_name, f"WITH {_sql} SELECT {TEN} FROM norm")(lambda spark, sf, view=_view: _norm(view, spark, sf))
+for _name, _column in (
+    ("norm_name_clean", "name_clean"),
+    ("norm_name_legal", "name_legal"),
+    ("norm_name_no_suffix", "name_no_suffix"),
+    ("norm_addr_clean", "addr_clean"),
+    ("norm_postal", "postal_code"),
+    ("norm_country", "country_clean"),
+):
+    query(_name, f"WITH {PART} SELECT entity_id, {_column} FROM norm")(
+        lambda spark, sf, c=_column: _norm(fixtures.rec_part, spark, sf).select("entity_id", c)
+    )
+
+WORDS_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+KEY_SQL = r"replace(strip_accents(regexp_replace(name_no_suffix, '\b(com|org|net|in|co)\b', '', 'g')), ' ', '')"
+
+
+@query("postal_strict", rf"WITH {fixtures.REC_PART} SELECT entity_id, regexp_extract(business_address, '\b(\d{{6}})\b', 1) AS postal_code FROM rec")
+def _(spark, sf):
+    return fixtures.rec_part(spark, sf).select("entity_id", T.postal_code(F.col("business_address"), True).alias("postal_code"))
+
+
+@query("norm_views", f"WITH {REC} SELECT entity_id, {WORDS_SQL.format('raw_name')} AS words, translate({WORDS_SQL.format('raw_name')}, '01358', 'olesb') AS ocr, {KEY_SQL} AS compact, strip_accents(raw_address) AS plain, trim(name_clean || ' ' || addr_clean) AS search FROM norm")
+def _(spark, sf):
+    return _norm(fixtures.rec, spark, sf).select(
+        "entity_id",
+        T.words_clean(F.col("raw_name")).alias("words"),
+        T.ocr_view(F.col("raw_name")).alias("ocr"),
+        T.compact_key(F.col("name_no_suffix")).alias("compact"),
+        T.strip_accents(F.col("raw_address")).alias("plain"),
+        T.search_text(F.col("name_clean"), F.col("addr_clean")).alias("search"),
+    )
+
+
+@query("tokenize_explode", rf"WITH {PART} SELECT entity_id, t AS token FROM (SELECT entity_id, unnest(string_split_regex(name_clean, '\s+')) AS t FROM norm) WHERE t <> ''")
+def _(spark, sf):
+    return _norm(fixtures.rec_part, spark, sf).select("entity_id", F.explode(T.tokenize(F.col("name_clean"))).alias("token"))
+
+
+@query("numeric_tokens", rf"WITH {PART} SELECT entity_id, unnest(regexp_extract_all(addr_clean, '\b(\d+)\b', 1)) AS number FROM norm")
+def _(spark, sf):
+    return _norm(fixtures.rec_part, spark, sf).select("entity_id", F.explode(T.numeric_tokens(F.col("addr_clean"))).alias("number"))
+
+
+@query("char_trigrams", f"WITH {PART} SELECT DISTINCT entity_id, CASE WHEN length(name_clean) < 3 THEN name_clean ELSE substring(name_clean, i, 3) END AS gram FROM (SELECT entity_id, name_clean, unnest(range(1, greatest(length(name_clean) - 1, 2))) AS i FROM norm)")
+def _(spark, sf):
+    return _norm(fixtures.rec_part, spark, sf).select("entity_id", F.explode(T.char_grams(F.col("name_clean"))).alias("gram"))
+
+
+# splits
+
+BUCKET_SQL = "CAST(('0x' || substr(md5({0} || '{1}'), 1, 8))::UBIGINT % {2} AS BIGINT)"
+
+
+@query("split_buckets", f"WITH {fixtures.REC}, b AS (SELECT entity_id, {BUCKET_SQL.format('entity_id', 'v1', 1000)} AS bucket, {BUCKET_SQL.format('entity_id', '_fold', 3)} AS fold FROM rec) SELECT entity_id, bucket, fold, CASE WHEN bucket < 5 THEN 'val1' WHEN bucket >= 10 AND bucket < 25 THEN 'train_gate' WHEN bucket >= 25 AND bucket < 30 THEN 'val2' ELSE 'rest' END AS split FROM b")
+def _(spark, sf):
+    return fixtures.rec(spark, sf).select(
+        "entity_id",
+        T.bucket(F.col("entity_id"), "v1").alias("bucket"),
+        T.bucket(F.col("entity_id"), "_fold", 3).alias("fold"),
+        pipeline.split_of(F.col("entity_id")).alias("split"),
+    )
+
+
+# blocking
+
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+NUMBER, WORD = r"regexp_extract(addr_clean, '\b(\d+)\b', 1)", r"regexp_extract(addr_clean, '\b(\d+)\b\s+([a-z]+)', 2)"
+
+
+def _tokens_sql(text: str, least: int, stop: list[str], most: int) -> str:
+    split = "SELECT entity_id, country_clean, unnest(string_split({0}, ' ')) AS token FROM {1} WHERE {2} <> ''"
+    column = text.removeprefix("strip_accents(").removesuffix(")")
+    a, b = split.format(text, "s1", column), split.format(text, "s2", column)
+    return f"""SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS sx_id FROM ({a}) a JOIN ({b}) b USING (country_clean, token)
+    WHERE token IN (SELECT token FROM ({b}) WHERE length(token) >= {least} AND token NOT IN ({_quoted(stop)})
+      GROUP BY token HAVING count(*) <= {most})"""
+
+
+PASS_SQL = {
+    "exact_name": f"""SELECT a.entity_id AS s1_id, b.entity_id AS sx_id
+    FROM (SELECT *, {KEY_SQL} AS key FROM s1 WHERE length(name_no_suffix) > 2) a JOIN (SELECT *, {KEY_SQL} AS key FROM s2) b USING (key, country_clean)""",
+    "rare_name_token": _tokens_sql("strip_accents(name_no_suffix)", 3, blocking.NAME_STOP, 150),
+    "exact_address": "SELECT s1.entity_id AS s1_id, s2.entity_id AS sx_id FROM s1 JOIN s2 USING (addr_clean, country_clean) WHERE length(addr_clean) > 8",
+    "street": f"""SELECT a.entity_id AS s1_id, b.entity_id AS sx_id FROM (SELECT *, {NUMBER} AS num, {WORD} AS word FROM s1) a
+    JOIN (SELECT *, {NUMBER} AS num, {WORD} AS word FROM s2) b USING (num, word, country_clean)
+    WHERE num <> '' AND word NOT IN ({_quoted(blocking.STREET_STOP)}) AND length(word) >= 4""",
+    "rare_address_token": _tokens_sql("addr_clean", 5, blocking.ADDRESS_STOP, 40),
+}
+for _name, _f in blocking.PASSES.items():
+    for _prefix, _view, _sql in (("block", fixtures.rec, REC), ("block_part", fixtures.rec_part, PART)):
+        query(f"{_prefix}_{_name}", f"WITH {_sql} {PASS_SQL[_name]}")(
+            lambda spark, sf, f=_f, view=_view: f(*_sources(view, spark, sf)[:2])
+        )
+
+
+def edges_sql(view: str) -> str:
+    return f"{view}, edges AS ({' UNION '.join(PASS_SQL.values())})"
+
+
+def _edges(spark: SparkSession, sf_dir: str, view: Callable = fixtures.rec) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s1, s2, _ = _sources(view, spark, sf_dir)
+    return blocking.block_union(s1, s2), s1, s2
+
+
+@query("block_union", f"WITH {edges_sql(REC)} SELECT s1_id, sx_id FROM edges")
+def _(spark, sf):
+    return _edges(spark, sf)[0]
+
+
+DIAGNOSTIC_SQL = """SELECT '{0}' AS pass_name, CAST(coalesce(sum(n), 0) AS BIGINT) AS candidate_count, count(*) AS s1_entities_with_candidates,
+  coalesce(round(avg(n), 6), 0) AS avg_candidates_per_s1, coalesce(quantile_disc(n, 0.95), 0) AS p95_candidates_per_s1, coalesce(max(n), 0) AS max_candidates_per_s1
+  FROM (SELECT s1_id, count(*) AS n FROM ({1}) GROUP BY s1_id)"""
+
+
+@query("block_diagnostics", f"WITH {edges_sql(REC)} " + " UNION ALL ".join(DIAGNOSTIC_SQL.format(k, v) for k, v in [*PASS_SQL.items(), ("union", "SELECT * FROM edges")]))
+def _(spark, sf):
+    s1, s2, _ = _sources(fixtures.rec, spark, sf)
+    return pipeline.block(s1, s2)[1]
+
+
+@query("block_postal_house", f"WITH {PART} SELECT a.entity_id AS s1_id, b.entity_id AS sx_id FROM (SELECT *, {NUMBER} AS num FROM s1) a JOIN (SELECT *, {NUMBER} AS num FROM s2) b USING (country_clean, postal_code, num) WHERE postal_code <> '' AND num <> ''")
+def _(spark, sf):
+    return blocking.postal_house(*_sources(fixtures.rec_part, spark, sf)[:2])
+
+
+def _head_sql(view: str) -> str:
+    side = r"(SELECT *, regexp_extract(v, '^([a-z0-9]+)\s+([a-z0-9]+)', 1) AS t1, regexp_extract(v, '^([a-z0-9]+)\s+([a-z0-9]+)', 2) AS t2 FROM (SELECT *, {0} AS v FROM {1}) WHERE length(v) >= 5)"
+    return f"""SELECT s1_id, sx_id FROM (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS sx_id
+    FROM {side.format(view, 's1')} a JOIN {side.format(view, 's2')} b USING (country_clean, t1, t2)
+    WHERE t1 <> '' AND t1 NOT IN ({_quoted(blocking.HEAD_STOP)})) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY sx_id) <= 5"""
+
+
+@query("view_ocr", f"WITH {REC} {_head_sql('translate(' + WORDS_SQL.format('raw_name') + ', ' + chr(39) + '01358' + chr(39) + ', ' + chr(39) + 'olesb' + chr(39) + ')')}")
+def _(spark, sf):
+    return blocking.view_ocr(*_sources(fixtures.rec, spark, sf)[:2])
+
+
+#: A few entries of a transliteration map, for the view that needs one.
+MAPPING = {"und": "and", "der": "the", "que": "what", "les": "the"}
+TRANSLIT_SQL = f"array_to_string(list_transform(string_split({WORDS_SQL.format('raw_name')}, ' '), lambda t: CASE t {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in MAPPING.items())} ELSE t END), ' ')"
+
+
+def _mapping():
+    return F.create_map(*[F.lit(x) for kv in MAPPING.items() for x in kv])
+
+
+@query("view_translit", f"WITH {REC} {_head_sql(TRANSLIT_SQL)}")
+def _(spark, sf):
+    return blocking.view_translit(*_sources(fixtures.rec, spark, sf)[:2], _mapping())
+
+
+_ADDR = WORDS_SQL.format("addr_clean")
+_VIEW_SIDE = r"(SELECT *, regexp_extract(v, '(\b\d+[a-z]?\b)', 1) AS num, regexp_extract(v, '(\b[a-z]{{5,}}\b)', 1) AS word FROM (SELECT *, " + _ADDR.replace("{", "{{").replace("}", "}}") + " AS v FROM {0}))"
+ADDRESS_VIEW_SQL = f"""SELECT s1_id, sx_id FROM (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS sx_id
+    FROM {_VIEW_SIDE.format('s1')} a JOIN {_VIEW_SIDE.format('s2')} b USING (country_clean, num, word)
+    WHERE num <> '' AND word <> '' AND word NOT IN ({_quoted(blocking.WORD_STOP)})) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY sx_id) <= 5"""
+
+
+@query("view_address", f"WITH {PART} {ADDRESS_VIEW_SQL}")
+def _(spark, sf):
+    return blocking.view_address(*_sources(fixtures.rec_part, spark, sf)[:2])
+
+
+@query("retrieval_views", f"WITH {REC} SELECT * FROM ({_head_sql('translate(' + WORDS_SQL.format('raw_name') + ', ' + chr(39) + '01358' + chr(39) + ', ' + chr(39) + 'olesb' + chr(39) + ')')}) UNION SELECT * FROM ({_head_sql(TRANSLIT_SQL)}) UNION SELECT * FROM ({ADDRESS_VIEW_SQL})")
+def _(spark, sf):
+    return blocking.retrieval_views(*_sources(fixtures.rec, spark, sf)[:2], _mapping())
+
+
+# retrieval
+
+def _words_sql(table: str) -> str:
+    return rf"""SELECT entity_id, country_clean, token, count(*) AS tf FROM (
+    SELECT entity_id, country_clean, unnest(regexp_extract_all(lower(trim(name_clean || ' ' || addr_clean)), '[\p{{L}}\p{{N}}_]{{2,}}')) AS token FROM {table})
+    WHERE token NOT IN ({_quoted(retrieval.STOP_WORDS)}) GROUP BY ALL"""
+
+
+TFIDF = f"""{REC}, vocab AS (
+  SELECT token, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT token, count(*) AS df FROM ({_words_sql('s2')}) GROUP BY token),
+    (SELECT count(*) AS n FROM s2) WHERE df >= 2 AND df <= n * 0.05
+), q AS (SELECT *, (1 + ln(tf)) * idf AS raw FROM ({_words_sql('s1')}) JOIN vocab USING (token)),
+t AS (SELECT *, (1 + ln(tf)) * idf AS raw FROM ({_words_sql('s2')}) JOIN vocab USING (token)),
+qw AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY entity_id)) AS w FROM q),
+tw AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY entity_id)) AS w FROM t)"""
+
+
+@query("token_df", f"WITH {REC} SELECT token, count(*) AS df FROM ({_words_sql('s2')}) GROUP BY token HAVING count(*) >= 2")
+def _(spark, sf):
+    return retrieval.words(_sources(fixtures.rec, spark, sf)[1]).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+
+
+@query("tfidf_weights", f"WITH {TFIDF} SELECT entity_id, token, round(w, 6) AS w FROM tw")
+def _(spark, sf):
+    s2 = _sources(fixtures.rec, spark, sf)[1]
+    return retrieval.weights(s2, retrieval.vocabulary(s2, 2, 0.05)).select("entity_id", "token", F.round("w", 6).alias("w"))
+
+
+@query("tfidf_topk", f"""WITH {TFIDF} SELECT s1_id, sx_id, tfidf_score FROM (
+  SELECT qw.entity_id AS s1_id, tw.entity_id AS sx_id, round(sum(qw.w * tw.w), 6) AS tfidf_score
+  FROM qw JOIN tw USING (country_clean, token) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY tfidf_score DESC, sx_id) <= 20""")
+def _(spark, sf):
+    return retrieval.top_k(*_sources(fixtures.rec, spark, sf)[:2], 20, 2, 0.05)
+
+
+@query("translit_mining", rf"""WITH {edges_sql(REC)}, p AS (
+  SELECT string_split_regex(trim(lower(s1.name_clean)), '\s+') AS a, string_split_regex(trim(lower(s2.raw_name)), '\s+') AS b
+  FROM edges JOIN s1 ON s1.entity_id = s1_id JOIN s2 ON s2.entity_id = sx_id
+), z AS (SELECT unnest(a) AS latin, unnest(b) AS native FROM p WHERE len(a) = len(b) AND len(list_filter(b, lambda t: regexp_matches(t, '[^\x00-\x7F]'))) > 0),
+c AS (SELECT native, latin, count(*) AS n FROM z WHERE regexp_matches(native, '[^\x00-\x7F]') AND NOT regexp_matches(latin, '[^\x00-\x7F]') GROUP BY ALL)
+SELECT native, latin FROM (SELECT *, row_number() OVER (PARTITION BY native ORDER BY n DESC, latin) AS p FROM c) WHERE p = 1 AND n >= 2""")
+def _(spark, sf):
+    edges, s1, s2 = _edges(spark, sf)
+    named = edges.join(s1.select(F.col("entity_id").alias("s1_id"), F.col("name_clean").alias("s1_name")), "s1_id")
+    named = named.join(s2.select(F.col("entity_id").alias("sx_id"), F.col("raw_name").alias("sx_name")), "sx_id")
+    return retrieval.transliterations(named)
+
+
+# features
+
+
+def _text_sql(view: str) -> str:
+    return f"""{edges_sql(view)}, pairs AS (
+  SELECT s1_id, sx_id, a.name_clean AS s1_name, b.name_clean AS sx_name, a.name_no_suffix AS s1_no_suf, b.name_no_suffix AS sx_no_suf,
+    a.addr_clean AS s1_addr, b.addr_clean AS sx_addr, coalesce(a.postal_code, '') AS s1_post, coalesce(b.postal_code, '') AS sx_post
+  FROM edges JOIN s1 a ON a.entity_id = s1_id JOIN s2 b ON b.entity_id = sx_id)"""
+
+
+def _list(x: str) -> str:
+    return rf"list_filter(string_split_regex(trim({x}), '\s+'), lambda t: t <> '')"
+
+
+def _jac(a: str, b: str) -> str:
+    both = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"CASE WHEN {both} > 0 THEN len(list_intersect(list_distinct({a}), {b})) / {both} ELSE 0.0::DOUBLE END"
+
+
+def _minus(a: str, b: str) -> str:
+    return f"len(list_filter(list_distinct({a}), lambda t: NOT list_contains({b}, t)))"
+
+
+def _tri(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN -1.0 ELSE CAST({a} = {b} AS DOUBLE) END"
+
+
+def _lev(a: str, b: str) -> str:
+    return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END"
+
+
+_N1, _N2, _A1, _A2 = (_list(c) for c in ("s1_name", "sx_name", "s1_addr", "sx_addr"))
+_D1, _D2 = (rf"regexp_extract_all({c}, '\b(\d+)\b', 1)" for c in ("s1_addr", "sx_addr"))
+_H1, _H2 = (rf"regexp_extract({c}, '\b(\d+)\b', 1)" for c in ("s1_addr", "sx_addr"))
+_GRAM = "CASE WHEN length({0}) < 3 THEN [{0}] ELSE list_transform(range(1, greatest(length({0}) - 1, 2)), lambda i: substring({0}, i, 3)) END"
+_F1, _F2 = f"coalesce({_N1}[1], '')", f"coalesce({_N2}[1], '')"
+FEATURE_SQL = {
+    "name_exact": "CAST(s1_name = sx_name AND s1_name <> '' AS DOUBLE)",
+    "name_no_suf_exact": "CAST(s1_no_suf = sx_no_suf AND s1_no_suf <> '' AS DOUBLE)",
+    "addr_exact": "CAST(s1_addr = sx_addr AND s1_addr <> '' AS DOUBLE)",
+    "name_levenshtein": _lev("s1_name", "sx_name"),
+    "addr_levenshtein": f"CASE WHEN s1_addr = '' OR sx_addr = '' THEN 0.0 ELSE {_lev('s1_addr', 'sx_addr')} END",
+    "name_jaccard": _jac(_N1, _N2),
+    "addr_jaccard": _jac(_A1, _A2),
+    "name_trigram_jaccard": _jac(_GRAM.format("s1_name"), _GRAM.format("sx_name")),
+    "name_len_diff": "CAST(abs(length(s1_name) - length(sx_name)) AS DOUBLE)",
+    "name_len_ratio": "least(length(s1_name), length(sx_name)) / greatest(length(s1_name), length(sx_name), 1)",
+    "addr_len_diff": "CAST(abs(length(s1_addr) - length(sx_addr)) AS DOUBLE)",
+    "addr_len_ratio": "least(length(s1_addr), length(sx_addr)) / greatest(length(s1_addr), length(sx_addr), 1)",
+    "first_token_match": f"CAST({_F1} = {_F2} AND {_F1} <> '' AS DOUBLE)",
+    "first_token_conflict": f"CAST({_F1} <> '' AND {_F2} <> '' AND {_F1} <> {_F2} AS DOUBLE)",
+    "number_exact": _tri(_H1, _H2),
+    "number_conflict": f"CAST({_H1} <> '' AND {_H2} <> '' AND {_H1} <> {_H2} AS DOUBLE)",
+    "addr_num_shared": f"CAST(len(list_intersect(list_distinct({_D1}), {_D2})) AS DOUBLE)",
+    "num_toks_diff": f"CAST({_minus(_D1, _D2)} + {_minus(_D2, _D1)} AS DOUBLE)",
+    "postal_exact": _tri("s1_post", "sx_post"),
+    "postal_prefix_match": _tri("substring(s1_post, 1, 3)", "substring(sx_post, 1, 3)"),
+    "addr_present_both": "CAST(s1_addr <> '' AND sx_addr <> '' AS DOUBLE)",
+    "name_exact_addr_missing": "CAST(s1_name = sx_name AND s1_name <> '' AND (s1_addr = '' OR sx_addr = '') AS DOUBLE)",
+    "name_only_s1": f"CAST({_minus(_N1, _N2)} AS DOUBLE)",
+    "name_only_sx": f"CAST({_minus(_N2, _N1)} AS DOUBLE)",
+    "addr_only_s1": f"CAST({_minus(_A1, _A2)} AS DOUBLE)",
+    "addr_only_sx": f"CAST({_minus(_A2, _A1)} AS DOUBLE)",
+    "name_tok_count_diff": f"CAST(abs(len({_N1}) - len({_N2})) AS DOUBLE)",
+    "addr_tok_count_diff": f"CAST(abs(len({_A1}) - len({_A2})) AS DOUBLE)",
+}
+
+
+def _pairs(spark: SparkSession, sf_dir: str, view: Callable) -> DataFrame:
+    edges, s1, s2 = _edges(spark, sf_dir, view)
+    return features.attach_text(edges, s1, s2)
+
+
+def _rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    return df.select("s1_id", "sx_id", *[F.round(c, digits).alias(c) for c in columns])
+
+
+for _name, _columns in (
+    ("feat_exact_len", ["name_exact", "name_no_suf_exact", "addr_exact", "name_len_diff", "name_len_ratio", "addr_len_diff", "addr_len_ratio"]),
+    ("feat_jaccard", ["name_jaccard", "addr_jaccard"]),
+    ("feat_trigram", ["name_trigram_jaccard"]),
+    ("feat_levenshtein", ["name_levenshtein", "addr_levenshtein"]),
+    ("feat_numbers", ["number_exact", "number_conflict", "addr_num_shared", "num_toks_diff"]),
+    ("feat_postal", ["postal_exact", "postal_prefix_match"]),
+    ("feat_tokens", ["first_token_match", "first_token_conflict", "name_only_s1", "name_only_sx", "addr_only_s1", "addr_only_sx", "name_tok_count_diff", "addr_tok_count_diff", "addr_present_both", "name_exact_addr_missing"]),
+):
+    query(_name, f"WITH {_text_sql(PART)} SELECT s1_id, sx_id, " + ", ".join(f"round({FEATURE_SQL[c]}, 6) AS {c}" for c in _columns) + " FROM pairs")(
+        lambda spark, sf, c=_columns: _rounded(features.native_features(_pairs(spark, sf, fixtures.rec_part)), c)
+    )
+
+
+@query("feat_jaro_winkler", f"WITH {_text_sql(PART)} SELECT s1_id, sx_id, round(jaro_winkler_similarity(s1_name, sx_name), 6) AS name_jaro_winkler, round(CASE WHEN s1_addr = '' OR sx_addr = '' THEN 0 ELSE jaro_winkler_similarity(s1_addr, sx_addr) END, 6) AS addr_jaro_winkler FROM pairs")
+def _(spark, sf):
+    return _rounded(features.string_features(_pairs(spark, sf, fixtures.rec_part)), ["name_jaro_winkler", "addr_jaro_winkler"])
+
+
+@query("feat_strings")
+def _(spark, sf):
+    """Ratio, token sort, token set, weighted and partial ratios; tested against a dynamic program."""
+    columns = ["name_ratio", "name_token_sort", "name_token_set", "name_wratio", "name_translit_sim", "addr_ratio", "addr_token_sort", "addr_token_set", "name_addr_mean", "name_addr_prod", "name_addr_sum", "name_addr_max", "name_addr_min", "name_addr_combined_sim"]
+    return _rounded(features.string_features(_pairs(spark, sf, fixtures.rec_part)), columns)
+
+
+@query("feat_v1")
+def _(spark, sf):
+    """The fifteen features of the first stage."""
+    return _rounded(features.all_features(_pairs(spark, sf, fixtures.rec_part)), features.PAIRWISE_V1)
+
+
+@query("feat_all")
+def _(spark, sf):
+    found = features.all_features(_pairs(spark, sf, fixtures.rec_part))
+    return _rounded(found, [c for c, t in found.dtypes if t == "double"])
+
+
+# ranking
+
+SCORED = f"""{_text_sql(PART)}, scored AS (
+  SELECT *, round(({FEATURE_SQL['name_jaccard']} + {FEATURE_SQL['addr_jaccard']}) / 2, 6) AS score FROM pairs)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str, view: Callable = fixtures.rec_part) -> DataFrame:
+    return features.proxy_score(_pairs(spark, sf_dir, view))
+
+
+@query("proxy_score", f"WITH {SCORED} SELECT s1_id, sx_id, score FROM scored")
+def _(spark, sf):
+    return _scored(spark, sf).select("s1_id", "sx_id", "score")
+
+
+RANK_SQL = f"""{SCORED}, r AS (
+  SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s1_id, sx_id) AS cand_rank, count(*) OVER (PARTITION BY s1_id) AS cand_count,
+    max(score) OVER (PARTITION BY s1_id) AS top1_score, avg(score) OVER (PARTITION BY s1_id) AS mean_,
+    row_number() OVER (PARTITION BY sx_id ORDER BY score DESC, s1_id, sx_id) AS target_rank, count(*) OVER (PARTITION BY sx_id) AS target_candidate_count,
+    max(score) OVER (PARTITION BY sx_id) AS target_best_base_score FROM scored),
+x AS (SELECT *, coalesce(max(CASE WHEN target_rank = 2 THEN score END) OVER (PARTITION BY sx_id), 0) AS target_second_best_base_score,
+    coalesce(max(CASE WHEN cand_rank = 2 THEN score END) OVER (PARTITION BY s1_id), 0) AS next_,
+    lower(trim(sx_name)) || '___' || trim(sx_post) AS cluster FROM r)"""
+
+
+@query("rank_competition", f"""WITH {RANK_SQL} SELECT s1_id, sx_id, cand_rank, cand_count, top1_score, round(top1_score - score, 6) AS score_diff_top1,
+  round(score / (top1_score + 1e-6), 6) AS score_ratio_top1, round(score - mean_, 6) AS score_diff_mean,
+  round(CASE WHEN cand_count = 1 THEN 1.0 ELSE (cand_count - cand_rank) / (cand_count - 1) END, 6) AS score_percentile FROM x""")
+def _(spark, sf):
+    found = ranking.competition(_scored(spark, sf))
+    return found.select("s1_id", "sx_id", "cand_rank", "cand_count", "top1_score", *[F.round(c, 6).alias(c) for c in ("score_diff_top1", "score_ratio_top1", "score_diff_mean", "score_percentile")])
+
+
+@query("rank_target", f"""WITH {RANK_SQL} SELECT s1_id, sx_id, target_candidate_count, target_rank, target_best_base_score, target_second_best_base_score,
+  round(target_best_base_score - target_second_best_base_score, 6) AS target_margin, round(score / (target_best_base_score + 1e-6), 6) AS target_score_ratio,
+  CAST(target_rank = 1 AS INTEGER) AS target_is_best_candidate FROM x""")
+def _(spark, sf):
+    found = ranking.competition(_scored(spark, sf))
+    return found.select("s1_id", "sx_id", "target_candidate_count", "target_rank", "target_best_base_score", "target_second_best_base_score", F.round("target_margin", 6).alias("target_margin"), F.round("target_score_ratio", 6).alias("target_score_ratio"), "target_is_best_candidate")
+
+
+@query("rank_collective", f"""WITH {RANK_SQL}, s AS (SELECT *, CASE WHEN cand_rank = 1 THEN next_ ELSE top1_score END AS best_sibling_score FROM x)
+SELECT s1_id, sx_id, CAST(sum(CAST(score >= 0.6 AS INTEGER)) OVER (PARTITION BY s1_id) - CAST(score >= 0.6 AS INTEGER) AS BIGINT) AS sibling_support_count,
+  best_sibling_score, round(score - best_sibling_score, 6) AS sibling_margin, CAST(best_sibling_score >= 0.6 AS INTEGER) AS has_sibling_support,
+  target_best_base_score AS target_stage1_top1, target_second_best_base_score AS target_stage1_runner_up,
+  round(CASE WHEN target_rank = 1 THEN target_best_base_score - target_second_best_base_score ELSE score - target_best_base_score END, 6) AS target_stage1_margin,
+  CAST(target_rank = 1 AS INTEGER) AS target_stage1_is_best, count(*) OVER (PARTITION BY cluster) AS cluster_size,
+  round(count(*) OVER (PARTITION BY cluster, s1_id) / count(*) OVER (PARTITION BY cluster), 6) AS cluster_s1_agreement,
+  max(score) OVER (PARTITION BY cluster) AS cluster_max_score FROM s""")
+def _(spark, sf):
+    found = ranking.collective(_scored(spark, sf))
+    plain = ["sibling_support_count", "best_sibling_score", "has_sibling_support", "target_stage1_top1", "target_stage1_runner_up", "target_stage1_is_best", "cluster_size", "cluster_max_score"]
+    return found.select("s1_id", "sx_id", *plain, *[F.round(c, 6).alias(c) for c in ("sibling_margin", "target_stage1_margin", "cluster_s1_agreement")])
+
+
+# gold and labels
+
+GOLD = f"{SCORED}, gold AS (SELECT s1.entity_id AS s1_id, s2.entity_id AS sx_id FROM s1 JOIN s2 USING (text)), uni AS (SELECT DISTINCT entity_id AS s1_id FROM s1)"
+
+
+def _gold(spark: SparkSession, sf_dir: str, source: str = "S2") -> tuple[DataFrame, DataFrame]:
+    rows = fixtures.rec_part(spark, sf_dir).select("entity_id", "text")
+    left = rows.where(F.col("entity_id").startswith("S1-")).withColumnRenamed("entity_id", "s1_id")
+    right = rows.where(F.col("entity_id").startswith(f"{source}-")).withColumnRenamed("entity_id", "sx_id")
+    return left.join(right, "text").select("s1_id", "sx_id"), left.select("s1_id").distinct()
+
+
+TRUTH = f"""{fixtures.REC_PART}, truth AS (
+  SELECT a.entity_id AS source1_entity_id, coalesce(string_agg(b.entity_id, ',' ORDER BY b.entity_id), '') AS matched_entity_ids
+  FROM rec a LEFT JOIN rec b ON a.text = b.text AND b.entity_id NOT LIKE 'S1-%' WHERE a.entity_id LIKE 'S1-%' GROUP BY 1)"""
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = [_gold(spark, sf_dir, k)[0] for k in ("S2", "S3")]
+    s1 = fixtures.rec_part(spark, sf_dir).where(F.col("entity_id").startswith("S1-"))
+    both = pairs[0].unionByName(pairs[1])
+    return export.export_lists(s1, [both])
+
+
+@query("gold_lists", f"WITH {TRUTH} SELECT * FROM truth")
+def _(spark, sf):
+    return _truth(spark, sf)
+
+
+@query("gold_explode", f"WITH {TRUTH} SELECT source1_entity_id AS s1_id, trim(unnest(string_split(matched_entity_ids, ','))) AS sx_id FROM truth WHERE matched_entity_ids <> ''")
+def _(spark, sf):
+    return metrics.explode_gold(_truth(spark, sf))
+
+
+@query("gold_clean", f"WITH {TRUTH} SELECT * FROM (SELECT source1_entity_id AS s1_id, unnest(string_split(matched_entity_ids, ',')) AS sx_id FROM truth WHERE matched_entity_ids <> '') WHERE sx_id LIKE 'S2-%'")
+def _(spark, sf):
+    return metrics.clean_gold(metrics.explode_gold(_truth(spark, sf)), "S2")
+
+
+LABELLED = f"{GOLD}, lab AS (SELECT scored.*, CAST(gold.s1_id IS NOT NULL AS INTEGER) AS label FROM scored LEFT JOIN (SELECT DISTINCT * FROM gold) gold USING (s1_id, sx_id))"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.labelled(_scored(spark, sf_dir), _gold(spark, sf_dir)[0])
+
+
+@query("label_join", f"WITH {LABELLED} SELECT s1_id, sx_id, label FROM lab")
+def _(spark, sf):
+    return _labelled(spark, sf).select("s1_id", "sx_id", "label")
+
+
+@query("hard_negatives", f"WITH {LABELLED} SELECT s1_id, sx_id, score, label FROM lab QUALIFY label = 1 OR row_number() OVER (PARTITION BY s1_id, label ORDER BY score DESC, sx_id) <= 6")
+def _(spark, sf):
+    return ranking.hard_negatives(_labelled(spark, sf)).select("s1_id", "sx_id", "score", "label")
+
+
+@query("secondary_gold", f"WITH {LABELLED} SELECT s1_id, sx_id, CAST(label = 1 AND sum(label) OVER (PARTITION BY s1_id) > 1 AS INTEGER) AS is_secondary FROM lab")
+def _(spark, sf):
+    return ranking.secondary(_labelled(spark, sf)).select("s1_id", "sx_id", "is_secondary")
+
+
+# assignment
+
+LINKS = f"""{GOLD}, kept AS (SELECT s1_id, sx_id, score FROM scored WHERE score >= 0.44),
+links AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY sx_id ORDER BY score DESC, s1_id) = 1)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign.exclusive(assign.above_by_target(_scored(spark, sf_dir).select("s1_id", "sx_id", "score")))
+
+
+@query("threshold_filter", f"WITH {LINKS} SELECT * FROM kept")
+def _(spark, sf):
+    return assign.above(_scored(spark, sf).select("s1_id", "sx_id", "score"), 0.44)
+
+
+@query("blend_scores", f"WITH {SCORED} SELECT s1_id, sx_id, round(0.8 * {FEATURE_SQL['name_jaccard']} + 0.2 * {FEATURE_SQL['addr_jaccard']}, 6) AS score FROM scored")
+def _(spark, sf):
+    found = features.native_features(_pairs(spark, sf, fixtures.rec_part))
+    return _rounded(assign.blend(found, "name_jaccard", "addr_jaccard", 0.2), ["score"])
+
+
+@query("exclusivity", f"WITH {LINKS} SELECT * FROM links")
+def _(spark, sf):
+    return _links(spark, sf)
+
+
+@query("exclusivity_margin", f"""WITH {LINKS}, m AS (SELECT *, row_number() OVER (PARTITION BY sx_id ORDER BY score DESC, s1_id) AS p FROM kept),
+n AS (SELECT *, coalesce(max(CASE WHEN p = 2 THEN score END) OVER (PARTITION BY sx_id), 0) AS second FROM m)
+SELECT s1_id, sx_id, score FROM n WHERE p = 1 AND (score - second >= 0.05 OR second = 0)""")
+def _(spark, sf):
+    kept = assign.above(_scored(spark, sf).select("s1_id", "sx_id", "score"), 0.44)
+    return assign.exclusive(kept, margin=0.05)
+
+
+@query("singleton_recovery", f"""WITH {LINKS}, m AS (SELECT s1_id, sx_id, score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, sx_id) AS p FROM scored),
+n AS (SELECT *, coalesce(max(CASE WHEN p = 2 THEN score END) OVER (PARTITION BY s1_id), 0) AS second FROM m)
+SELECT s1_id, sx_id, score FROM n WHERE p = 1 AND score >= 0.85 AND score - second >= 0.15 AND s1_id NOT IN (SELECT s1_id FROM links WHERE score < 0.9)""")
+def _(spark, sf):
+    links = _links(spark, sf)
+    return assign.recovered(_scored(spark, sf).select("s1_id", "sx_id", "score"), links.where("score < 0.9"))
+
+
+@query("keep_best", f"""WITH {SCORED} SELECT s1_id, sx_id, max(s) AS score FROM (SELECT s1_id, sx_id, score AS s FROM scored UNION ALL SELECT s1_id, sx_id, 0.5 FROM scored WHERE score < 0.6) GROUP BY ALL""")
+def _(spark, sf):
+    scored = _scored(spark, sf).select("s1_id", "sx_id", "score")
+    return assign.keep_best([scored, scored.where("score < 0.6").withColumn("score", F.lit(0.5))])
+
+
+# evaluation
+
+F_SQL = """CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN n_pred = 0 THEN 0.0 ELSE tp / n_pred END AS p,
+  CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN n_true = 0 THEN 0.0 ELSE tp / n_true END AS r"""
+
+
+def _entity_sql(links: str, group: str = "") -> str:
+    return f"""(SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 1.25 * p * r / (0.25 * p + r) END AS f FROM (SELECT *, {F_SQL} FROM (
+    SELECT {group} u.s1_id, coalesce(c.n, 0) AS n_pred, coalesce(g.n, 0) AS n_true, coalesce(c.tp, 0) AS tp FROM {links}
+    LEFT JOIN (SELECT s1_id, count(*) AS n FROM (SELECT DISTINCT * FROM gold) GROUP BY s1_id) g ON g.s1_id = u.s1_id)))"""
+
+
+_COUNTED = """uni u LEFT JOIN (SELECT l.s1_id, count(*) AS n, count(g.s1_id) AS tp FROM links l LEFT JOIN (SELECT DISTINCT * FROM gold) g
+    ON g.s1_id = l.s1_id AND g.sx_id = l.sx_id GROUP BY l.s1_id) c ON c.s1_id = u.s1_id"""
+
+
+@query("macro_f05", f"""WITH {LINKS} SELECT round(avg(f), 5) AS macro_f05, round(avg(p), 5) AS macro_precision, round(avg(r), 5) AS macro_recall,
+  count(*) AS total_s1, count(*) FILTER (n_true = 0) AS total_singletons, count(*) FILTER (n_true = 0 AND n_pred = 0) AS singletons_correct,
+  CASE WHEN count(*) FILTER (n_true = 0) = 0 THEN 1.0 ELSE round(count(*) FILTER (n_true = 0 AND n_pred = 0) / count(*) FILTER (n_true = 0), 5) END AS singleton_accuracy,
+  CAST(sum(n_pred) AS BIGINT) AS predicted_matches FROM {_entity_sql(_COUNTED)}""")
+def _(spark, sf):
+    return metrics.macro_f(_links(spark, sf), *_gold(spark, sf))
+
+
+STEPS = [0.3, 0.44, 0.5, 0.6, 0.7, 0.8, 0.9]
+_SWEPT = f"""(SELECT s1_id, unnest([{', '.join(f'{t}::DOUBLE' for t in STEPS)}]) AS threshold FROM uni) u LEFT JOIN (
+    SELECT threshold, l.s1_id, count(*) AS n, count(g.s1_id) AS tp FROM scored l JOIN (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in STEPS)}]) AS threshold) ON score >= threshold
+    LEFT JOIN (SELECT DISTINCT * FROM gold) g ON g.s1_id = l.s1_id AND g.sx_id = l.sx_id GROUP BY ALL) c ON c.s1_id = u.s1_id AND c.threshold = u.threshold"""
+SWEEP_SQL = f"""SELECT threshold, round(avg(f), 5) AS macro_f05, round(avg(p), 5) AS macro_precision, round(avg(r), 5) AS macro_recall,
+  CAST(sum(n_pred) AS BIGINT) AS predicted_matches FROM {_entity_sql(_SWEPT, 'u.threshold,')} GROUP BY threshold"""
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.threshold_sweep(_scored(spark, sf_dir), *_gold(spark, sf_dir), STEPS)
+
+
+@query("threshold_sweep", f"WITH {GOLD} {SWEEP_SQL}")
+def _(spark, sf):
+    return _sweep(spark, sf)
+
+
+@query("best_threshold", f"WITH {GOLD} SELECT * FROM ({SWEEP_SQL}) ORDER BY macro_f05 DESC, threshold LIMIT 1")
+def _(spark, sf):
+    return metrics.best_threshold(_sweep(spark, sf))
+
+
+@query("candidate_recall", f"""WITH {GOLD} SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM gold)) AS total_gold, (SELECT count(*) FROM (SELECT DISTINCT * FROM gold) JOIN edges USING (s1_id, sx_id)) AS gold_covered,
+  round((SELECT count(*) FROM (SELECT DISTINCT * FROM gold) JOIN edges USING (s1_id, sx_id)) / greatest((SELECT count(*) FROM (SELECT DISTINCT * FROM gold)), 1), 6) AS recall,
+  (SELECT count(*) FROM edges) AS candidates, (SELECT count(DISTINCT s1_id) FROM edges) AS s1_with_candidates""")
+def _(spark, sf):
+    return metrics.candidate_recall(_edges(spark, sf, fixtures.rec_part)[0], _gold(spark, sf)[0])
+
+
+@query("secondary_recall", f"""WITH {GOLD}, g AS (SELECT DISTINCT * FROM gold), s AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY s1_id) > 1)
+SELECT count(*) AS secondary_gold, count(edges.s1_id) AS secondary_found, round(count(edges.s1_id) / greatest(count(*), 1), 6) AS secondary_recall FROM s LEFT JOIN edges USING (s1_id, sx_id)""")
+def _(spark, sf):
+    return metrics.secondary_recall(_edges(spark, sf, fixtures.rec_part)[0], _gold(spark, sf)[0])
+
+
+for _name, _f, _op in (("set_new", metrics.set_new, "EXCEPT"), ("set_common", metrics.set_common, "INTERSECT"), ("set_union", metrics.set_union, "UNION")):
+    query(_name, f"WITH {PART} SELECT * FROM ({PASS_SQL['street']}) {_op} SELECT * FROM ({PASS_SQL['exact_name']})")(
+        lambda spark, sf, f=_f: f(*[p(*_sources(fixtures.rec_part, spark, sf)[:2]) for p in (blocking.street, blocking.exact_name)])
+    )
+
+
+@query("prediction_diff", f"""WITH {LINKS}, o AS (SELECT s1_id, sx_id, 1 AS o FROM scored WHERE score >= 0.6), n AS (SELECT s1_id, sx_id, 1 AS n FROM links)
+SELECT CASE WHEN n IS NULL THEN 'removed' WHEN o IS NULL THEN 'added' ELSE 'kept' END AS change, count(*) AS pairs, count(g) AS gold_pairs
+FROM o FULL JOIN n USING (s1_id, sx_id) LEFT JOIN (SELECT DISTINCT *, 1 AS g FROM gold) USING (s1_id, sx_id) GROUP BY 1""")
+def _(spark, sf):
+    old = assign.above(_scored(spark, sf), 0.6)
+    return metrics.prediction_diff(old, _links(spark, sf), _gold(spark, sf)[0])
+
+
+@query("recovered_trace", f"""WITH {LINKS} SELECT CASE WHEN links.s1_id IS NOT NULL THEN 'kept' WHEN coalesce(scored.score, 0) < 0.44 THEN 'below_threshold' ELSE 'lost_to_exclusivity' END AS outcome, count(*) AS pairs
+FROM (SELECT DISTINCT * FROM gold) g LEFT JOIN scored USING (s1_id, sx_id) LEFT JOIN links USING (s1_id, sx_id) GROUP BY 1""")
+def _(spark, sf):
+    return metrics.recovered_trace(_gold(spark, sf)[0], _scored(spark, sf), _links(spark, sf), 0.44)
+
+
+@query("score_quantiles", f"""WITH {SCORED} SELECT round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_cont(score, 0.9), 6) AS p90,
+  round(quantile_cont(score, 0.95), 6) AS p95, max(score) AS largest, round(avg(CAST(score > 0.1 AS INTEGER)), 6) AS share_over FROM scored""")
+def _(spark, sf):
+    return metrics.score_quantiles(_scored(spark, sf))
+
+
+@query("rescore_gate", f"WITH {SCORED} SELECT round(avg(CAST(score > 0 AS INTEGER)), 6) AS non_zero, avg(CAST(score > 0 AS INTEGER)) >= 0.01 AS passed FROM scored")
+def _(spark, sf):
+    return metrics.rescore_gate(_scored(spark, sf))
+
+
+# export and checks
+
+EXPORTED = f"""{LINKS}, exported AS (SELECT entity_id AS source1_entity_id, coalesce(string_agg(sx_id, ',' ORDER BY sx_id), '') AS matched_entity_ids
+  FROM s1 LEFT JOIN links ON s1_id = entity_id GROUP BY 1)"""
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.export_run(_links(spark, sf_dir), _sources(fixtures.rec_part, spark, sf_dir)[0])
+
+
+@query("export_matches", f"WITH {EXPORTED} SELECT * FROM exported")
+def _(spark, sf):
+    return _exported(spark, sf)
+
+
+@query("export_candidates", f"WITH {edges_sql(PART)} SELECT entity_id AS source1_entity_id, coalesce(string_agg(sx_id, ',' ORDER BY sx_id), '') AS candidate_entity_ids FROM s1 LEFT JOIN edges ON s1_id = entity_id GROUP BY 1")
+def _(spark, sf):
+    edges, s1, _ = _edges(spark, sf, fixtures.rec_part)
+    return export.export_lists(s1, [edges], "candidate_entity_ids")
+
+
+@query("import_candidates", f"WITH {EXPORTED} SELECT DISTINCT source1_entity_id AS s1_id, sx_id, split_part(sx_id, '-', 1) AS source FROM (SELECT source1_entity_id, unnest(string_split(matched_entity_ids, ',')) AS sx_id FROM exported) WHERE sx_id <> ''")
+def _(spark, sf):
+    return export.import_lists(_exported(spark, sf), "matched_entity_ids")
+
+
+@query("submission_summary", f"""WITH {EXPORTED} SELECT count(*) AS n_rows, count(*) FILTER (matched_entity_ids = '') AS empty_rows,
+  CAST(coalesce(sum(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x LIKE 'S2-%'))), 0) AS BIGINT) AS s2_links,
+  CAST(coalesce(sum(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x LIKE 'S3-%'))), 0) AS BIGINT) AS s3_links,
+  CAST(coalesce(sum(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> ''))), 0) AS BIGINT) AS links FROM exported""")
+def _(spark, sf):
+    return export.summary(_exported(spark, sf))
+
+
+#: A list with every fault, made of the exported one.
+BROKEN = """broken AS (SELECT source1_entity_id, matched_entity_ids FROM exported WHERE NOT source1_entity_id LIKE '%9'
+  UNION ALL SELECT source1_entity_id, source1_entity_id || ',S2-0,S2-0' FROM exported WHERE source1_entity_id LIKE '%3'
+  UNION ALL SELECT 'S9-1', 'X1'), each AS (SELECT source1_entity_id AS s, unnest(string_split(matched_entity_ids, ',')) AS id FROM broken WHERE matched_entity_ids <> '')"""
+
+
+@query("validate_rules", f"""WITH {EXPORTED}, {BROKEN}
+SELECT 'duplicate_s1' AS rule, count(*) AS findings FROM (SELECT source1_entity_id FROM broken GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'duplicate_id', count(*) FROM (SELECT s, id FROM each GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'self_match', count(*) FROM each WHERE s = id UNION ALL SELECT 'wrong_prefix', count(*) FROM each WHERE NOT regexp_matches(id, '^S[23]-')
+UNION ALL SELECT 'missing_s1', count(*) FROM (SELECT entity_id FROM s1 EXCEPT SELECT source1_entity_id FROM broken)
+UNION ALL SELECT 'extra_s1', count(*) FROM broken WHERE source1_entity_id NOT IN (SELECT entity_id FROM s1)
+UNION ALL SELECT 'unknown_id', count(*) FROM each WHERE id NOT IN (SELECT entity_id FROM s2 UNION ALL SELECT entity_id FROM s3)""")
+def _(spark, sf):
+    s1, s2, s3 = _sources(fixtures.rec_part, spark, sf)
+    out = _exported(spark, sf)
+    own = F.col("source1_entity_id")
+    wrong = out.where(own.endswith("3")).select(own, F.concat(own, F.lit(",S2-0,S2-0")).alias("matched_entity_ids"))
+    odd = spark.range(1).select(F.lit("S9-1").alias("source1_entity_id"), F.lit("X1").alias("matched_entity_ids"))
+    known = s2.select("entity_id").unionByName(s3.select("entity_id"))
+    return export.validate(out.where(~own.endswith("9")).unionByName(wrong).unionByName(odd), s1, known=known)
+
+
+@query("containment", f"WITH {LINKS} SELECT s1_id, sx_id FROM links EXCEPT ({PASS_SQL['street']})")
+def _(spark, sf):
+    return export.not_contained(_links(spark, sf), blocking.street(*_sources(fixtures.rec_part, spark, sf)[:2]))
+
+
+@query("target_conflicts", f"WITH {LINKS} SELECT sx_id, count(DISTINCT s1_id) AS n_s1 FROM kept GROUP BY sx_id HAVING count(DISTINCT s1_id) > 1")
+def _(spark, sf):
+    return export.target_conflicts(assign.above(_scored(spark, sf), 0.44))
+
+
+@query("delta_apply", f"""WITH {EXPORTED} SELECT source1_entity_id, CASE WHEN matched_entity_ids <> '' THEN matched_entity_ids WHEN source1_entity_id LIKE '%5' THEN 'S2-new' ELSE '' END AS matched_entity_ids FROM exported""")
+def _(spark, sf):
+    out = _exported(spark, sf)
+    delta = out.where(F.col("source1_entity_id").endswith("5")).select("source1_entity_id", F.lit("S2-new").alias("matched_entity_ids"))
+    return assign.apply_delta(out, delta)
+
+
+@query("match_run")
+def _(spark, sf):
+    """All targets at once, with thresholds, exclusivity and recovery; its parts have oracles of their own."""
+    s1, s2, s3 = _sources(fixtures.rec_part, spark, sf)
+    return pipeline.match(s1, {"S2": s2, "S3": s3})
+
+
+# models
+
+MODEL_COLUMNS = list(FEATURE_SQL)
+
+
+@query("gbt_stage1")
+def _(spark, sf):
+    """Scores of a boosted model; tested by its metric on held-out records."""
+    pairs = metrics.labelled(features.native_features(_pairs(spark, sf, fixtures.rec_part)), _gold(spark, sf)[0])
+    pairs = models_table(pairs)
+    model = models.train(pairs, MODEL_COLUMNS, rounds=5)
+    return models.predict(model, pairs, MODEL_COLUMNS, "stage1_score").select("s1_id", "sx_id", "label", "stage1_score")
+
+
+@query("gbt_oof")
+def _(spark, sf):
+    pairs = models_table(metrics.labelled(features.native_features(_pairs(spark, sf, fixtures.rec_part)), _gold(spark, sf)[0]))
+    return models.out_of_fold(pairs, MODEL_COLUMNS, rounds=3).select("s1_id", "sx_id", "label", "stage1_score")
+
+
+@query("gbt_stage2")
+def _(spark, sf):
+    """Out-of-fold scores, their competition and collective evidence, and a second model on all of it."""
+    pairs = models_table(metrics.labelled(features.native_features(_pairs(spark, sf, fixtures.rec_part)), _gold(spark, sf)[0]))
+    first = models.out_of_fold(pairs, MODEL_COLUMNS, rounds=3)
+    found = models_table(ranking.collective(ranking.competition(first, "stage1_score"), "stage1_score"))
+    texts = {"s1_id", "sx_id", "label"}
+    columns = [c for c, t in found.dtypes if t != "string" and c not in texts]
+    model = models.train(found, columns, positive=2.5, rounds=3)
+    scored = models.predict(model, found, columns, "stage2_score")
+    return assign.blend(scored, "stage1_score", "stage2_score", 0.5).select("s1_id", "sx_id", "label", "stage1_score", "stage2_score", "score")
+
+
+def models_table(pairs: DataFrame) -> DataFrame:
+    """Training reads its pairs many times: they are kept in memory, or on disk where they do not fit."""
+    return pairs.persist()
