@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z, every byte outside 0-9, A-Z, a-z and >= 0x80 to a space: then split() gives the words
@@ -45,6 +48,12 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -53,10 +62,12 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices whose texts have about ``size`` bytes together (one row at least), so memory does not follow the batch."""
     for batch in batches:
-        texts = as_bytes(batch.column(column))
-        start = total = 0
-        for i, text in enumerate(texts):
-            total += len(text or b"") + 16
-            if total >= size or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, total = i + 1, 0
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths.astype(np.int64) + 16)
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, as_bytes(part.column(column))
+            start = stop

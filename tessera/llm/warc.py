@@ -1,8 +1,9 @@
 """WARC archives, written once per payload and read back by index.
 
-Writing: pages are dealt to files by ranges of page_id; of records with equal payloads (SHA-1 and length) of at least
-``least`` bytes the one with the smallest page_id is a ``response``, the others are ``revisit`` records that name it.
-Each file comes with rows of an index: page_id, file, offset, length, URL and digest of every record.
+Writing: pages are dealt to files by page_id, and every record is a gzip member of its own; of records with equal
+payloads (SHA-1 and length) of at least ``least`` bytes the one with the smallest page_id is a ``response``, the others
+are ``revisit`` records that name it. Each file comes with rows of an index: page_id, file, offset, length, URL and
+digest of every record.
 
 Reading: the records wanted are selected in the index; for each file their byte ranges are sorted, ranges closer than
 ``gap`` bytes are coalesced into one read of at most ``most`` bytes (or one record, if that is longer), and each record
@@ -17,6 +18,7 @@ writes no file. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -30,6 +32,8 @@ from tessera.llm.common import blocks, scratch
 
 INDEX = "page_id long, file string, offset long, length long, url string, digest string"
 CONTROL = re.compile(rb"[\x00-\x20\x7f]")
+#: Payload bytes that a reader returns at a time.
+OUT = 2 << 20
 DATE = b"2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -87,29 +91,28 @@ def write(pages: DataFrame, folder: str, least: int = 0, rows_per_file: int = 40
     first = narrow.where(F.col("n") >= least).groupBy("sha1", "n").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")
     )
+    # one key for rows of one id, one for each payload without an id; per key the payloads that are not alone
+    key = lambda page_id: F.coalesce(page_id.cast("string"), F.concat(F.lit("-"), F.col("sha1")))
     repeats = (
         narrow.join(first.where("copies > 1"), ["sha1", "n"])
-        .select(F.col("page_id").alias("id"), "sha1", "first")
-        .distinct()
-    )
-    joined = pages.withColumn("sha1", F.sha1(payload)).join(
-        repeats.withColumnRenamed("sha1", "other"),
-        F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("other")),
-        "left",
+        .groupBy(key(F.col("page_id")).alias("key"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("sha1", F.struct("first")))).alias("repeats"))
     )
     counted = pages.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    dealt = (
-        joined.select("page_id", "url", "html", F.col("other").isNotNull().alias("repeats"), "first")
-        .repartitionByRange(max(1, -(-counted // rows_per_file)), F.col("page_id").asc_nulls_last())
-        .sortWithinPartitions(F.col("page_id").asc_nulls_last(), "html")
-    )
+    keyed = pages.withColumn("sha1", F.sha1(payload)).withColumn("key", key(F.col("page_id")))
+    # the one shuffle of payloads serves the join and the files
+    joined = keyed.repartition(max(1, -(-counted // rows_per_file)), "key").join(repeats, "key", "left")
+    found = F.try_element_at("repeats", F.col("sha1"))
+    dealt = joined.select(
+        "page_id", "url", "html", found.isNotNull().alias("repeats"), found["first"].alias("first")
+    ).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = path = last = None
         offset = 0
         for batch, texts in blocks(batches, "html", 2 << 20):
             if sink is None:
-                path = files.attempt(folder, "pages", ".warc")
+                path = files.attempt(folder, "pages", ".warc.gz")
                 system, inside = files.opened(path)
                 sink = system.open_output_stream(inside, compression=None)
             rows = []
@@ -121,6 +124,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, rows_per_file: int = 40
                 revisit = again and (page_id != to or last == (page_id, digest, len(text)))
                 last = (page_id, digest, len(text))
                 data = record(page_id, url.encode() if url else None, text, digest, to, revisit)
+                data = gzip.compress(data, 6, mtime=0)
                 sink.write(data)
                 rows.append((page_id, path, offset, len(data), url, digest))
                 offset += len(data)
@@ -142,7 +146,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, rows_per_file: int = 40
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read(selected: DataFrame, gap: int = 64 << 10, most: int = 4 << 20, files_per_task: int = 1) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of the records selected in the
     index; a revisit has a null payload. Any selection of index rows can be read, without the others' bytes."""
     schema = (
@@ -180,9 +184,9 @@ def read(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> DataF
                 system, inside = files.opened(file)
                 source, opened = system.open_input_file(inside), file
             data = source.read_at(part[-1][1] + part[-1][2] - start, start)
-            rows = []
-            for _, offset, length in part:
-                named, http, payload = parse(data[offset - start : offset - start + length])
+            rows, size = [], 0
+            for k, (_, offset, length) in enumerate(part):
+                named, http, payload = parse(gzip.decompress(data[offset - start : offset - start + length]))
                 kind = named[b"WARC-Type"].decode()
                 digest = named[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
                 whole = kind == "response"
@@ -199,11 +203,15 @@ def read(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> DataF
                         None if whole else number(named[b"WARC-Refers-To"]),
                     )
                 )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names
-            )
-
-    placed = selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+                size += len(payload)
+                if size >= OUT or k == len(part) - 1:
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                    rows, size = [], 0
+
+    placed = selected.select("file", "offset", "length")
+    tasks = -(-placed.agg(F.countDistinct("file")).first()[0] // files_per_task)
+    placed = placed.repartition(max(1, tasks), "file").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, schema)
 
 
