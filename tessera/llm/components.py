@@ -8,46 +8,47 @@ from pyspark.sql import functions as F
 from tessera.llm.common import delete, scratch
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
-    """Every node links its neighbours (``small``: those below it and itself, else those above it) to the least node
-    that it knows. The least is joined back, so a node with many neighbours is a skewed join that can be split."""
-    both = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    if not small:
-        both = both.unionByName(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = both.join(least, "u")
-    if small:
-        linked = linked.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(
-            least.select(F.col("m").alias("a"), F.col("u").alias("b"))
-        )
-    else:
-        linked = linked.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return linked.where("a < b").distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of edges (a, b): the component is its least node, which has a row as well.
 
-    Rounds of large and small stars until no edge changes; each round is a table in the shared folder."""
+    Rounds of large and small stars until no edge changes. In a star every node links its neighbours (in a small one
+    those below it and itself, in a large one those above it) to the least node that it knows. Edges and least nodes
+    are tables in the shared folder, so a node with many neighbours is one side of a plain join, which can be split."""
     spark = edges.sparkSession
-
-    def written(df: DataFrame) -> tuple[DataFrame, str, tuple]:
-        path = scratch(spark, "edges")
-        df.write.parquet(path)
-        table = spark.read.schema("a long, b long").parquet(path)
-        state = table.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 16))).first()
-        return table, path, tuple(state)
-
-    now, path, state = written(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    )
-    while True:
-        after, new_path, new_state = written(_stars(_stars(now, False), True))
-        delete(spark, path)
-        now, path = after, new_path
-        if new_state == state:
-            break
-        state = new_state
+    made: list[str] = []
+
+    def written(df: DataFrame, schema: str) -> DataFrame:
+        made.append(scratch(spark, "edges"))
+        df.write.parquet(made[-1])
+        return spark.read.schema(schema).parquet(made[-1])
+
+    def star(now: DataFrame, small: bool) -> DataFrame:
+        both = now.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        if not small:
+            both = both.unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = written(least, "u long, m long")
+        linked = both.join(least, "u")
+        if small:
+            linked = linked.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(
+                least.select(F.col("m").alias("a"), F.col("u").alias("b"))
+            )
+        else:
+            linked = linked.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        return written(linked.where("a < b").distinct(), "a long, b long")
+
+    def state(now: DataFrame) -> tuple:
+        return tuple(now.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 16))).first())
+
+    ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    now = written(ordered.where("a < b").distinct(), "a long, b long")
+    before, after = None, state(now)
+    while after != before:
+        now = star(star(now, False), True)
+        before, after = after, state(now)
+        for path in made[:-1]:
+            delete(spark, path)
+        del made[:-1]
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )
