@@ -16,6 +16,11 @@ def _second(rank: Column, score: str, window) -> Column:
     return F.coalesce(F.max(F.when(rank == 2, F.col(score))).over(window), F.lit(0.0))
 
 
+def _mean(score: Column, window) -> Column:
+    """The mean of scores of six digits, summed as integers: no order of rows changes it."""
+    return F.sum(F.round(score * 1e6).cast("long")).over(window) / F.count(F.lit(1)).over(window) / 1e6
+
+
 def competition(pairs: DataFrame, score: str = "score") -> DataFrame:
     """How a pair stands among the pairs of its record and of its target."""
     s1, by_s1 = _over("s1_id", score)
@@ -23,7 +28,7 @@ def competition(pairs: DataFrame, score: str = "score") -> DataFrame:
     own, n, rank = F.col(score), F.col("cand_count"), F.col("cand_rank")
     ranked = pairs.withColumns({"cand_rank": F.row_number().over(by_s1), "cand_count": F.count(F.lit(1)).over(s1)})
     ranked = ranked.withColumns(
-        {"top1_score": F.max(own).over(s1), "_mean": F.avg(own).over(s1), "target_rank": F.row_number().over(by_sx)}
+        {"top1_score": F.max(own).over(s1), "_mean": _mean(own, s1), "target_rank": F.row_number().over(by_sx)}
     ).withColumns(
         {
             "score_diff_top1": F.col("top1_score") - own,

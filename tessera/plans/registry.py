@@ -393,7 +393,7 @@ def _(spark, sf):
 
 RANK_SQL = f"""{SCORED}, r AS (
   SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s1_id, sx_id) AS cand_rank, count(*) OVER (PARTITION BY s1_id) AS cand_count,
-    max(score) OVER (PARTITION BY s1_id) AS top1_score, avg(score) OVER (PARTITION BY s1_id) AS mean_,
+    max(score) OVER (PARTITION BY s1_id) AS top1_score, CAST(sum(CAST(round(score * 1e6) AS BIGINT)) OVER (PARTITION BY s1_id) AS BIGINT) / count(*) OVER (PARTITION BY s1_id) / 1e6 AS mean_,
     row_number() OVER (PARTITION BY sx_id ORDER BY score DESC, s1_id, sx_id) AS target_rank, count(*) OVER (PARTITION BY sx_id) AS target_candidate_count,
     max(score) OVER (PARTITION BY sx_id) AS target_best_base_score FROM scored),
 x AS (SELECT *, coalesce(max(CASE WHEN target_rank = 2 THEN score END) OVER (PARTITION BY sx_id), 0) AS target_second_best_base_score,
@@ -402,11 +402,11 @@ x AS (SELECT *, coalesce(max(CASE WHEN target_rank = 2 THEN score END) OVER (PAR
 
 
 @query("rank_competition", f"""WITH {RANK_SQL} SELECT s1_id, sx_id, cand_rank, cand_count, top1_score, round(top1_score - score, 6) AS score_diff_top1,
-  round(score / (top1_score + 1e-6), 6) AS score_ratio_top1, round(score - mean_, 6) AS score_diff_mean,
+  round(score / (top1_score + 1e-6), 6) AS score_ratio_top1, round(score - mean_, 12) AS score_diff_mean,
   round(CASE WHEN cand_count = 1 THEN 1.0 ELSE (cand_count - cand_rank) / (cand_count - 1) END, 6) AS score_percentile FROM x""")
 def _(spark, sf):
     found = ranking.competition(_scored(spark, sf))
-    return found.select("s1_id", "sx_id", "cand_rank", "cand_count", "top1_score", *[F.round(c, 6).alias(c) for c in ("score_diff_top1", "score_ratio_top1", "score_diff_mean", "score_percentile")])
+    return found.select("s1_id", "sx_id", "cand_rank", "cand_count", "top1_score", F.round("score_diff_mean", 12).alias("score_diff_mean"), *[F.round(c, 6).alias(c) for c in ("score_diff_top1", "score_ratio_top1", "score_percentile")])
 
 
 @query("rank_target", f"""WITH {RANK_SQL} SELECT s1_id, sx_id, target_candidate_count, target_rank, target_best_base_score, target_second_best_base_score,
