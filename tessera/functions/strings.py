@@ -110,14 +110,16 @@ def partial(a: list[str], b: list[str]) -> np.ndarray:
         if x in y:
             out[i] = 1.0
             continue
-        letters = set(x)
-        for start in range(1 - len(x), len(y)):
-            window = y[max(0, start) : start + len(x)]
-            # a best window begins or ends with a character of the shorter string
-            if window and (window[-1] in letters if start <= 0 else window[0] in letters if start + len(x) > len(y) else window[-1] in letters or window[0] in letters):
-                left.append(x)
-                right.append(window)
-                owner.append(i)
+        # of two strings as long as each other either may be the window
+        for p, q in ((x, y), (y, x))[: 1 + (len(x) == len(y))]:
+            letters, m, n = set(p), len(p), len(q)
+            for start in range(1 - m, n):
+                window = q[max(0, start) : start + m]
+                # a best window begins or ends, where it can be moved, with a character of the shorter string
+                if window[0 if start > 0 and start + m > n else -1] in letters or 0 < start <= n - m and window[0] in letters:
+                    left.append(p)
+                    right.append(window)
+                    owner.append(i)
     if left:
         np.maximum.at(out, owner, ratio(left, right))
     return out
