@@ -37,9 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, blocks, delete, scratch
+from tessera.llm.common import LOWER, blocks, delete, release, scratch
 from tessera.llm.components import components
 
+#: Ids that are broadcast at most (some 100 MB in memory); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: The ratio of the bounds of size classes.
 RATIO = 1.2
 U = np.uint64
@@ -328,7 +330,7 @@ def _searched(members: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def link_components(
-    docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 22
+    docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 20
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
@@ -350,6 +352,7 @@ def link_components(
         classes.join(groups, F.col("h1") == F.col("node")).select(F.col("rep").alias("doc_id"), "h1", "n", "component"),
         "grouped",
     )
+    release(spark)  # the parts' shuffle is the largest, and done
     # groups above the limit are dealt into blocks; a task for each pair of blocks
     large = table(
         grouped.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles), "large"
@@ -369,6 +372,7 @@ def link_components(
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = table(_searched(dealt.join(texts, "doc_id"), percent, width), "links")
+    release(spark)  # and that of the texts
     if large.isEmpty():
         roots = found.select(F.col("b").alias("rep"), F.col("a").alias("root"))
     else:
@@ -396,6 +400,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The document with the least doc_id of each component, and those that link with none."""
     found = link_components(docs)
     rest = found.where("component_id <> doc_id").select("doc_id").distinct()
+    if rest.count() <= BROADCAST_ROWS:
+        rest = F.broadcast(rest)
     kept = docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
