@@ -225,7 +225,7 @@ def judged(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 13,
-    shard_words: int = 1 << 20,
+    shard_words: int = 1 << 19,
     block_bytes: int = 32 << 20,
     benchmark_bytes: int = 1 << 30,
     keep: bool = False,

@@ -9,7 +9,7 @@ from operator import attrgetter
 import numpy as np
 
 #: Pieces that a worker remembers, and the longest of them in bytes; both bound its memory, neither changes ids.
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 250_000, 48
 #: Marks that a byte-level pattern keeps together after a word.
 ENDS = ".,;:!?#$%&*|"
 
