@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -125,15 +126,20 @@ def partial(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def wratio(a: list[str], b: list[str]) -> np.ndarray:
-    """The weighted best of the above, by how much longer one string is."""
-    out = np.zeros(len(a))
+def wratio(a: list[str], b: list[str], known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """The weighted best of the above, by how much longer one string is. ``known``: those already computed."""
+    out, known = np.zeros(len(a)), known or {}
+
+    def get(f, chosen: list[int], x: list[str], y: list[str]) -> np.ndarray:
+        return known[f.__name__][chosen] if f.__name__ in known else f(x, y)
+
     lengths = [(min(len(x), len(y)), max(len(x), len(y))) for x, y in zip(a, b, strict=True)]
     near = [i for i, (s, n) in enumerate(lengths) if s and n < 1.5 * s]
     far = [i for i, (s, n) in enumerate(lengths) if s and n >= 1.5 * s]
     if near:
         x, y = [a[i] for i in near], [b[i] for i in near]
-        out[near] = np.maximum(ratio(x, y), 0.95 * np.maximum(token_sort(x, y), token_set(x, y)))
+        words = np.maximum(get(token_sort, near, x, y), get(token_set, near, x, y))
+        out[near] = np.maximum(get(ratio, near, x, y), 0.95 * words)
     if far:
         x, y = [a[i] for i in far], [b[i] for i in far]
         scale = np.array([0.9 if lengths[i][1] < 8 * lengths[i][0] else 0.6 for i in far])
@@ -142,7 +148,7 @@ def wratio(a: list[str], b: list[str]) -> np.ndarray:
         in_sets = np.where([bool(c) for c, _, _ in parts], 1.0, partial([p for _, p, _ in parts], [q for _, _, q in parts]))
         in_sets = np.where([not (s.split() and t.split()) for s, t in zip(x, y, strict=True)], 0.0, in_sets)
         words = 0.95 * scale * np.maximum(in_order, in_sets)
-        out[far] = np.maximum.reduce([ratio(x, y), scale * partial(x, y), words])
+        out[far] = np.maximum.reduce([get(ratio, far, x, y), scale * get(partial, far, x, y), words])
     return out
 
 
@@ -175,27 +181,37 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-SCORES = StructType(
-    [StructField(k, DoubleType()) for k in ("ratio", "token_sort", "token_set", "wratio", "partial", "jaro_winkler")]
-)
+def _jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
+    return np.array([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], float)
 
 
-@F.pandas_udf(SCORES)
-def string_scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """All six similarities of two string columns, from 0 to 1; equal pairs in a batch are computed once."""
-    for left, right in batches:
-        pairs = pd.MultiIndex.from_arrays([left.fillna(""), right.fillna("")])
-        codes, unique = pd.factorize(pairs)
-        a, b = ([u[k] for u in unique] for k in (0, 1))
-        found = {
-            "ratio": ratio(a, b),
-            "token_sort": token_sort(a, b),
-            "token_set": token_set(a, b),
-            "wratio": wratio(a, b),
-            "partial": partial(a, b),
-            "jaro_winkler": np.array([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], float),
-        }
-        yield pd.DataFrame({k: v[codes] if len(v) else v for k, v in found.items()})
+#: In an order in which each may use those before it.
+SCORES = {
+    "ratio": ratio,
+    "token_sort": token_sort,
+    "token_set": token_set,
+    "partial": partial,
+    "wratio": wratio,
+    "jaro_winkler": _jaro_winklers,
+}
+
+
+def string_scores(left: Column, right: Column, wanted: list[str]) -> Column:
+    """A struct of the wanted similarities of two string columns, from 0 to 1; equal pairs in a batch are computed once,
+    and what is not asked for is not computed."""
+
+    @F.pandas_udf(StructType([StructField(k, DoubleType()) for k in wanted]))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for x, y in batches:
+            codes, unique = pd.factorize(pd.MultiIndex.from_arrays([x.fillna(""), y.fillna("")]))
+            a, b = ([u[k] for u in unique] for k in (0, 1))
+            found: dict[str, np.ndarray] = {}
+            for name, f in SCORES.items():
+                if name in wanted:
+                    found[name] = wratio(a, b, found) if f is wratio else f(a, b)
+            yield pd.DataFrame({k: found[k][codes] if len(a) else [] for k in wanted}, dtype=float)
+
+    return run(left, right)
 
 
 @F.pandas_udf(DoubleType())

@@ -100,33 +100,43 @@ def native_features(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns(found)
 
 
-def string_features(pairs: DataFrame) -> DataFrame:
+NAME_SCORES = ["ratio", "token_sort", "token_set", "wratio", "jaro_winkler", "partial"]
+ADDRESS_SCORES = ["ratio", "token_sort", "token_set", "jaro_winkler"]
+
+
+def string_features(pairs: DataFrame, name_scores: list[str] = NAME_SCORES, addr_scores: list[str] = ADDRESS_SCORES, combined: bool = True) -> DataFrame:
     """The scores that need Arrow, and what is computed from them."""
-    scored = pairs.withColumns(
-        {
-            "_n": string_scores("s1_name", "sx_name"),
-            "_a": string_scores("s1_addr", "sx_addr"),
-            "name_addr_combined_sim": string_ratio(
-                F.concat_ws(" ", "s1_name", "s1_addr"), F.concat_ws(" ", "sx_name", "sx_addr")
-            ),
-        }
-    )
+    passes = {
+        "_n": string_scores(F.col("s1_name"), F.col("sx_name"), name_scores),
+        "_a": string_scores(F.col("s1_addr"), F.col("sx_addr"), addr_scores),
+    }
+    if combined:
+        passes["name_addr_combined_sim"] = string_ratio(
+            F.concat_ws(" ", "s1_name", "s1_addr"), F.concat_ws(" ", "sx_name", "sx_addr")
+        )
+    scored = pairs.withColumns(passes)
     present = (F.col("s1_addr") != "") & (F.col("sx_addr") != "")
-    found = {f"name_{k}": F.col(f"_n.{k}") for k in ("ratio", "token_sort", "token_set", "wratio", "jaro_winkler")}
-    found["name_translit_sim"] = F.col("_n.partial")
-    for k in ("ratio", "token_sort", "token_set", "jaro_winkler"):
-        found[f"addr_{k}"] = F.when(present, F.col(f"_a.{k}")).otherwise(F.lit(0.0))
+    found = {"name_translit_sim" if k == "partial" else f"name_{k}": F.col(f"_n.{k}") for k in name_scores}
+    found |= {f"addr_{k}": F.when(present, F.col(f"_a.{k}")).otherwise(F.lit(0.0)) for k in addr_scores}
     scored = scored.withColumns(found)
-    n, a = F.col("name_wratio"), F.col("addr_ratio")
-    return scored.withColumns(
-        {
-            "name_addr_mean": (n + a) / 2,
-            "name_addr_prod": n * a,
-            "name_addr_sum": n + a,
-            "name_addr_max": F.greatest(n, a),
-            "name_addr_min": F.least(n, a),
-        }
-    ).drop("_n", "_a")
+    if "wratio" in name_scores and "ratio" in addr_scores:
+        n, a = F.col("name_wratio"), F.col("addr_ratio")
+        scored = scored.withColumns(
+            {
+                "name_addr_mean": (n + a) / 2,
+                "name_addr_prod": n * a,
+                "name_addr_sum": n + a,
+                "name_addr_max": F.greatest(n, a),
+                "name_addr_min": F.least(n, a),
+            }
+        )
+    return scored.drop("_n", "_a")
+
+
+def first_stage_features(pairs: DataFrame) -> DataFrame:
+    """The fifteen features of the first stage."""
+    scored = string_features(native_features(pairs), ["ratio", "token_set", "wratio"], ["ratio", "token_set"], False)
+    return scored.select("s1_id", "sx_id", *PAIRWISE_V1)
 
 
 def all_features(pairs: DataFrame) -> DataFrame:

@@ -354,7 +354,8 @@ for _name, _columns in (
 
 @query("feat_jaro_winkler", f"WITH {_text_sql(PART)} SELECT s1_id, sx_id, round(jaro_winkler_similarity(s1_name, sx_name), 6) AS name_jaro_winkler, round(CASE WHEN s1_addr = '' OR sx_addr = '' THEN 0 ELSE jaro_winkler_similarity(s1_addr, sx_addr) END, 6) AS addr_jaro_winkler FROM pairs")
 def _(spark, sf):
-    return _rounded(features.string_features(_pairs(spark, sf, fixtures.rec_part)), ["name_jaro_winkler", "addr_jaro_winkler"])
+    scored = features.string_features(_pairs(spark, sf, fixtures.rec_part), ["jaro_winkler"], ["jaro_winkler"], False)
+    return _rounded(scored, ["name_jaro_winkler", "addr_jaro_winkler"])
 
 
 @query("feat_strings")
@@ -367,7 +368,7 @@ def _(spark, sf):
 @query("feat_v1")
 def _(spark, sf):
     """The fifteen features of the first stage."""
-    return _rounded(features.all_features(_pairs(spark, sf, fixtures.rec_part)), features.PAIRWISE_V1)
+    return _rounded(features.first_stage_features(_pairs(spark, sf, fixtures.rec_part)), features.PAIRWISE_V1)
 
 
 @query("feat_all")
