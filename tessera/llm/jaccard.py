@@ -330,7 +330,7 @@ def _searched(members: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def link_components(
-    docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 20
+    docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 19
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
