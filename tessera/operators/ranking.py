@@ -26,9 +26,9 @@ def competition(pairs: DataFrame, score: str = "score") -> DataFrame:
     s1, by_s1 = _over("s1_id", score)
     sx, by_sx = _over("sx_id", score)
     own, n, rank = F.col(score), F.col("cand_count"), F.col("cand_rank")
-    ranked = pairs.withColumns({"cand_rank": F.row_number().over(by_s1), "cand_count": F.count(F.lit(1)).over(s1)})
+    ranked = pairs.withColumns({"cand_rank": F.row_number().over(by_s1).cast("long"), "cand_count": F.count(F.lit(1)).over(s1)})
     ranked = ranked.withColumns(
-        {"top1_score": F.max(own).over(s1), "_mean": _mean(own, s1), "target_rank": F.row_number().over(by_sx)}
+        {"top1_score": F.max(own).over(s1), "_mean": _mean(own, s1), "target_rank": F.row_number().over(by_sx).cast("long")}
     ).withColumns(
         {
             "score_diff_top1": F.col("top1_score") - own,
