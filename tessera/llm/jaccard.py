@@ -160,32 +160,39 @@ class Scheme:
         return np.concatenate(sigs), np.concatenate(owners)
 
 
-def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[int]:
-    """The root of each set's component, as an index. ``side``: only pairs of unequal sides are looked up."""
-    n = len(sets)
-    root = list(range(n))
+PLACE = 0xFFFFFFFF
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
 
+def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[int]:
+    """The root of each set's component, as an index. ``side``: only pairs of unequal sides are looked up.
+
+    Sets are looked up in the order of their sizes among those before them. One likely partner is tried first; then
+    places already connected to the set leave the short lists, which are merged by a heap."""
+    n = len(sets)
     by_size = sorted(range(n), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in by_size], np.int64)
-    flat = np.concatenate([sets[i] for i in by_size])
-    _, rank = np.unique(flat, return_inverse=True)
+    sides = np.array([side[i] for i in by_size], np.int64) if side else None
+    _, rank = np.unique(np.concatenate([sets[i] for i in by_size]), return_inverse=True)
     rank = rank.astype(np.int64) << 32
     # the inverted lists, one after the other: shingle in the upper half, place in the order of sizes in the lower
     lists = np.sort(rank + np.repeat(np.arange(n), sizes))
     ends = np.cumsum(sizes)
-    roots = 1
+    label = np.arange(n)  # the component of each place
+
+    def on(keys: np.ndarray) -> int:
+        """How many of the keys are in the lists, by binary search."""
+        return int((lists[np.minimum(np.searchsorted(lists, keys), len(lists) - 1)] == keys).sum())
+
+    def unite(q: int, y: int, common: int) -> None:
+        if 100 * common >= percent * (int(sizes[q]) + int(sizes[y]) - common):
+            label[label == label[q]] = label[y]
+
     for q in range(1, n):
-        roots += 1
         size = int(sizes[q])
         first = int(np.searchsorted(sizes, -(-percent * size // 100)))  # smaller partners cannot link
-        least = -(-percent * (size + int(sizes[first])) // (100 + percent)) if first < q else 0
-        if not least:
+        if first >= q:
             continue
+        least = -(-percent * (size + int(sizes[first])) // (100 + percent))
         own = rank[ends[q] - size : ends[q]]
         low, high = np.searchsorted(lists, own + first), np.searchsorted(lists, own + q)
         length = high - low
@@ -193,11 +200,21 @@ def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None)
         if len(order) < least:
             continue
         order = order[np.argsort(length[order], kind="stable")]
-        longest = int(length[order[-1]])
-        aside = min(least - 1, int(least / (0.0085 * log(longest) + 1)))
+        aside = min(least - 1, int(least / (0.0085 * log(int(length[order[-1]])) + 1)))
         short, long = order[: len(order) - aside], own[order[len(order) - aside :]]
         need = least - aside
-        merged = [(lists[low[i] : high[i]] & 0xFFFFFFFF).tolist() for i in short]
+        for y in {int(lists[high[short[0]] - 1]) & PLACE, q - 1}:
+            if label[y] != label[q] and (sides is None or sides[y] != sides[q]):
+                unite(q, y, on(own + y))
+        places = np.concatenate([lists[low[i] : high[i]] for i in short]) & PLACE
+        of = np.repeat(np.arange(len(short)), length[short])
+        open_ = label[places] != label[q]
+        if sides is not None:
+            open_ &= sides[places] != sides[q]
+        places, of = places[open_], of[open_]
+        if not len(places):
+            continue
+        merged = [x.tolist() for x in np.split(places, np.flatnonzero(np.diff(of)) + 1)]
         at = [0] * len(merged)
         heap = [(x[0], k) for k, x in enumerate(merged)]
         heapq.heapify(heap)
@@ -205,32 +222,24 @@ def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None)
             y, popped = heap[0][0], []
             while heap and heap[0][0] == y:
                 popped.append(heapq.heappop(heap)[1])
-            seen = len(popped)
-            if seen >= need:
-                if find(q) != find(y) and (side is None or side[by_size[q]] != side[by_size[y]]):
-                    if aside:
-                        keys = long + y
-                        seen += int((lists[np.minimum(np.searchsorted(lists, keys), len(lists) - 1)] == keys).sum())
-                    if 100 * seen >= percent * (size + int(sizes[y]) - seen):
-                        root[find(q)] = find(y)
-                        roots -= 1
-                        if roots == 1 and side is None:
-                            break
-                target = y + 1
+            target = y + 1
+            if len(popped) >= need:
+                if label[q] != label[y]:
+                    unite(q, y, len(popped) + (on(long + y) if aside else 0))
             else:  # no candidate below the place where enough lists can meet
-                for _ in range(need - 1 - seen):
+                for _ in range(need - 1 - len(popped)):
                     if heap:
                         popped.append(heapq.heappop(heap)[1])
-                target = max(y + 1, heap[0][0]) if heap else None
-                if target is None:
+                if not heap:
                     break
+                target = max(target, heap[0][0])
             for k in popped:
                 at[k] = bisect_left(merged[k], target, at[k])
                 if at[k] < len(merged[k]):
                     heapq.heappush(heap, (merged[k][at[k]], k))
     out = [0] * n
     for place, i in enumerate(by_size):
-        out[i] = by_size[find(place)]
+        out[i] = by_size[label[place]]
     return out
 
 
@@ -330,7 +339,7 @@ def _searched(members: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def link_components(
-    docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 19
+    docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 18
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
