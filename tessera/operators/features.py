@@ -20,7 +20,10 @@ PAIRWISE_V1 = [
 
 
 def attach_text(edges: DataFrame, s1: DataFrame, sx: DataFrame) -> DataFrame:
-    """Texts of both sides by two key joins; ids without a record get empty strings."""
+    """Texts of both sides by two key joins; ids without a record get empty strings.
+
+    Pairs of ids are few bytes but much work, so they are dealt out by number, not by size; the first join reuses that."""
+    edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s1_id")
     for name, side in (("s1", s1), ("sx", sx)):
         texts = side.select(
             F.col("entity_id").alias(f"{name}_id"),

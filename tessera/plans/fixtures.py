@@ -86,6 +86,7 @@ s3 AS (SELECT * FROM norm WHERE entity_id LIKE 'S3-%')"""
 
 
 def sources(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Normalized records of the three sources."""
-    norm = T.normalized(records)
+    """Normalized records of the three sources. Ten key columns are made of them, so they are kept, on disk where memory
+    does not hold them; a run over files reads them from the table that ``ingest`` has written."""
+    norm = T.normalized(records).persist()
     return tuple(norm.where(F.col("entity_id").startswith(f"S{k}-")) for k in (1, 2, 3))
