@@ -4,8 +4,9 @@ Markup is stripped into lines, one per block element. A line's weight is its tex
 footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, and lines that are mostly links, weigh
 nothing. Weights are summed over sliding windows of ``window`` lines. A surge is where such a sum reaches the
 threshold, a dive where it falls to nothing; all weighing lines from a surge (with those that touch it from above) to
-the next dive are kept. Where the page names its article (``article`` or ``main``), lines outside weigh nothing and
-any text is a surge; else the threshold is ``surge`` characters, or half the largest sum if that is less.
+the next dive are kept. The threshold is ``surge`` characters, or half the largest sum if that is less. Lines in an
+``article`` or ``main`` weigh two thresholds more, so a short one is a surge too; lines outside are judged by their own
+text, since windows and surges end at the edges of an article.
 
 Character references are decoded after markup is gone; white space in a block becomes one space; blocks are joined by
 line feeds. Text is never cut or capped.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,13 +65,13 @@ def _beside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """(text, weight) of each line, and whether the page names its article."""
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, weight, whether in an article) of each line."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, beside, article
-    beside = article = named = False
+    beside = article = False
 
     def end() -> None:
         nonlocal text, linked
@@ -137,33 +139,37 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
                 end()
             beside = beside or aside
             article = article or (name in ARTICLE and not beside)
-            named = named or article
             stack.append((name, beside, article))
     end()
-    return [(t, w if a or not named else 0) for t, w, a in out], named
+    return out
 
 
-def between(found: list[tuple[str, int]], named: bool, window: int = 3, surge: int = 86) -> str:
+def between(found: list[tuple[str, int, bool]], window: int = 3, surge: int = 86) -> str:
     """The lines from surges to dives."""
-    weights = [w for _, w in found]
-    total = [sum(weights[i : i + window]) for i in range(len(weights))]
-    threshold = 1 if named else min(surge, max(total, default=0) / 2)
-    kept, i, n = [], 0, len(found)
-    while i < n:
-        if total[i] < threshold or not weights[i]:
-            i += 1
-            continue
-        first = i
-        while first and weights[first - 1]:
-            first -= 1
-        while i < n and total[i]:
-            i += 1
-        kept += [t for t, w in found[first:i] if w]
+    parts = []  # the lines, weights and window sums of each stretch in or outside an article
+    for article, part in groupby(found, lambda x: x[2]):
+        part = list(part)
+        weights = [w + 2 * surge if article and w else w for _, w, _ in part]
+        parts.append((part, weights, [sum(weights[i : i + window]) for i in range(len(weights))]))
+    threshold = min(surge, max((t for _, _, total in parts for t in total), default=0) / 2)
+    kept = []
+    for part, weights, total in parts:
+        i, n = 0, len(part)
+        while i < n:
+            if total[i] < threshold or not weights[i]:
+                i += 1
+                continue
+            first = i
+            while first and weights[first - 1]:
+                first -= 1
+            while i < n and total[i]:
+                i += 1
+            kept += [t for t, w, _ in part[first:i] if w]
     return "\n".join(kept)
 
 
 def main_text(page: str | None) -> str:
-    return between(*lines(page)) if page else ""
+    return between(lines(page)) if page else ""
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -438,6 +438,14 @@ def test_extraction_cases(spark):
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (3, 1), (3, 17999), (4, 0)]
 
 
+def test_extraction_judges_text_outside_articles():
+    long = "A sentence of the story that is long enough to weigh something by itself, as sentences go. "
+    story = [f"{k} {long * 3}".strip() for k in range(4)]
+    cards = "".join(f"<article class=card><h3>Teaser {k}</h3></article>" for k in range(2))
+    page = f"<body><nav>Menu</nav>{''.join(f'<div>{x}</div>' for x in story)}<div class=ad>Buy</div>{cards}<div>Page 1</div></body>"
+    assert extract.main_text(page).split("\n") == [*story, "Teaser 0", "Teaser 1"]
+
+
 # 9 URLs
 
 
