@@ -11,7 +11,8 @@ text, since windows and surges end at the edges of an article.
 Character references are decoded after markup is gone; white space in a block becomes one space; blocks are joined by
 line feeds. Text is never cut or capped.
 
-Nulls: a null or empty page has an empty text and n_chars 0. Unclosed elements end with the element around them.
+Nulls: a null or empty page has an empty text and n_chars 0. Unclosed elements end with the element around them. A raw
+element (``svg``, ``object`` and the like) that closes itself or has no end tag is skipped alone, but for scripts and styles.
 Repeated rows are extracted each for itself; an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,6 +34,10 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas"}
+#: Raw elements that run to the end of the page where they have no end tag, and that a slash does not close.
+SCRIPT = {"script", "style"}
+#: The end of the attributes of a tag that closes itself; a slash inside an unquoted value is part of it.
+EMPTY = re.compile(r"(?:^|[\s\"'])/\s*$|(?:^|\s)[^\s=/]+/\s*$")
 ASIDE = {"nav", "aside", "footer", "form", "menu", "dialog", "select", "button", "head", "label", "datalist"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 BLOCK = {
@@ -72,6 +77,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, beside, article
     beside = article = False
+    endless: set[str] = set()  # raw elements with no end tag in the rest of the page
 
     def end() -> None:
         nonlocal text, linked
@@ -115,8 +121,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 if stack[k][0] in ARTICLE and name not in ("body", "html") or name not in BLOCK and stack[k][0] in BLOCK:
                     break
         elif name in RAW:
-            stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else size
+            if name in SCRIPT or name not in endless and not EMPTY.search(attributes):
+                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = stop.end() if stop else size if name in SCRIPT else at
+                if not stop:
+                    endless.add(name)
         elif name in VOID:
             if name == "br":
                 text.append(" ")

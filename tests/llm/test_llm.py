@@ -446,6 +446,13 @@ def test_extraction_judges_text_outside_articles():
     assert extract.main_text(page).split("\n") == [*story, "Teaser 0", "Teaser 1"]
 
 
+def test_extraction_goes_on_after_raw_elements_without_an_end():
+    for tag in ("<svg/>", '<svg class="i" />', "<svg width=9 hidden/>", "<math />", "<canvas>", "<object data=/x/>", "<template>"):
+        page = f"<main><p>one</p>{tag}<p>two</p><svg><text>no</text></svg><p>three</p></main>"
+        assert extract.main_text(page) == "one\ntwo\nthree", tag
+    assert extract.main_text("<main><p>one</p><object data=/x/>no</object><p>two</p><script src=a/>no<p>no</p></main>") == "one\ntwo"
+
+
 # 9 URLs
 
 
