@@ -6,9 +6,10 @@ Each line is judged by three rules; lines that fail are removed; a document that
 * navigation: two or more separators (``| › » • · / >`` standing alone) for at least 1 in 4 words;
 * boilerplate: a fixed phrase (cookie notices, rights, subscriptions, scripts) in a line of 30 words or fewer.
 
-A document is rejected where no line stays, or where the lines that the first two rules remove leave less than
-``least_kept`` of its word characters; a notice below a short text is removed, but is no fault of the text. The base
-rules come before: fewer than ``least_words`` words, or more than ``most_repeated`` of the words in repeated windows.
+A document is rejected where no line stays, or where the lines that the three rules remove leave less than
+``least_kept`` of its word characters; one licence or rights line, the longest, is removed but is no fault of the text.
+The base rules come before: fewer than ``least_words`` words, or more than ``most_repeated`` of the words in repeated
+windows. ``kept`` of the op10 query is what OP10_SQL says, where no notice counts as a loss (``notices=False``).
 
 Nulls and empty texts have no words, all counts 0, and are rejected. Rows are judged one by one, so ties and repeated
 rows get equal results; an empty table gives an empty result. Columns named like a result are replaced by it. Work is
@@ -33,6 +34,8 @@ BOILERPLATE = (
     "|all rights reserved|licensed under|sign (in|up) (now|here)|subscribe to|newsletter|click here|enable javascript"
     "|lorem ipsum)"
 )
+#: The notices that also stand with clean texts.
+RIGHTS = "(?i)(all rights reserved|licensed under)"
 WINDOW = 5
 
 
@@ -90,21 +93,27 @@ def is_notice(line: Column, n: Column) -> Column:
 
 
 def with_quality(
-    docs: DataFrame, least_words: int = 10, most_repeated: int = 20, least_kept: int = 50, clean: bool = False
+    docs: DataFrame, least_words: int = 10, most_repeated: int = 20, least_kept: int = 50, clean: bool = False, notices: bool = True
 ) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, kept_chars, base_failed and kept;
-    ``most_repeated`` and ``least_kept`` are percentages. ``clean``: also clean_text, the lines that stay."""
+    ``most_repeated`` and ``least_kept`` are percentages. ``clean``: also clean_text, the lines that stay.
+    ``notices``: whether removed notices count as lost text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     size = lambda x: F.size(F.split(F.btrim(x, F.lit(SPACE)), GAP, -1))
     chars = lambda x: _without(x, SPACE).cast("long")
     fair = F.filter(lines, lambda x: ~line_fails(x, size(x)))
 
+    zero = F.lit(0).cast("long")
+
+    def spared(x: Column) -> Column:
+        rights = F.filter(x, lambda y: y.rlike(RIGHTS) & is_notice(y, size(y)))
+        return F.aggregate(rights, zero, lambda a, y: F.greatest(a, chars(y)))
+
     def by_rules(x: Column) -> Column:
-        zero = F.lit(0).cast("long")
         good = F.filter(x, lambda y: ~is_notice(y, size(y)))
         return F.struct(
-            F.aggregate(x, zero, lambda a, y: a + chars(y)).alias("fair"),
+            spared(x).alias("spared") if notices else F.aggregate(x, zero, lambda a, y: a + chars(y)).alias("fair"),
             F.aggregate(good, zero, lambda a, y: a + chars(y)).alias("kept"),
             *([F.array_join(good, "\n").alias("text")] if clean else []),
         )
@@ -132,13 +141,14 @@ def with_quality(
         "base_failed",
         (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")),
     )
-    enough = (F.col("kept_chars") > 0) & (100 * F.col("_l.fair") >= least_kept * F.col("word_chars"))
+    left = F.col("kept_chars") + F.col("_l.spared") if notices else F.col("_l.fair")
+    enough = (F.col("kept_chars") > 0) & (100 * left >= least_kept * F.col("word_chars"))
     return judged.withColumn("kept", ~F.col("base_failed") & enough).drop("_w", "_l")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_quality(docs).select(
+    return with_quality(docs, notices=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

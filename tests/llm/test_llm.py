@@ -545,6 +545,20 @@ def test_quality_lines(spark):
     assert got["licence"].clean_text == good
 
 
+def test_quality_rejects_mostly_boilerplate(spark):
+    short = "Wind over the harbour, and a light."
+    licence = "This work is licensed under the GNU General Public License, version 3."
+    cases = {
+        "notices": "\n".join(f"Subscribe to list {k} now, see the cookie policy of site {k}." for k in range(40)) + "\nword",
+        "rights": "\n".join(f"Part {k} is licensed under terms {k} of the house." for k in range(40)) + "\nword",
+        "below": f"{short}\n{licence}",
+        "above": f"{licence}\n{short}",
+    }
+    data = spark.createDataFrame(list(cases.items()), "doc_id string, text string")
+    assert {r.doc_id for r in quality.with_quality(data).where("kept").collect()} == {"below", "above"}
+    assert {r.doc_id for r in quality.quality_stage(spark, data, "").collect()} == {"below", "above"}
+
+
 def test_quality_agrees_with_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(
         spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id"
