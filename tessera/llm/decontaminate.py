@@ -2,9 +2,10 @@
 
 The documents are taken in shards of about ``shard_words`` words (at least one whole document). Each shard gets a
 suffix array over its words: positions sorted by the words that follow, by prefix tripling, with documents kept apart
-by marks that no test word equals. All suffixes of the test items are then searched in it at once by binary search:
-the interval of a window gives all its places, and the neighbours of a whole suffix give its longest verbatim match and
-where it lies. No row is shuffled; a shard lives in one task and its memory is bounded by its words or by its longest
+by marks that no test word equals. The suffixes of the test items that begin a window are then searched in it at once by
+binary search: the interval of a window gives all its places. A match at a place is one word longer than that of the
+item's next window at the next place, so every place has its longest verbatim match and every document the longest of
+its places, ties going to the first place and then to the least item. No row is shuffled; a shard lives in one task and its memory is bounded by its words or by its longest
 document.
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. A document
@@ -133,15 +134,6 @@ def _before(text: np.ndarray, order: np.ndarray, query: np.ndarray, start: np.nd
     return low
 
 
-def _common(text: np.ndarray, at: np.ndarray, query: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Words that text from ``at`` and the queries share."""
-    out, todo = np.zeros(len(at), np.int64), np.flatnonzero(at >= 0)
-    while (todo := todo[size[todo] > out[todo]]).size:
-        todo = todo[text[np.minimum(at[todo] + out[todo], len(text) - 1)] == query[start[todo] + out[todo]]]
-        out[todo] += 1
-    return out
-
-
 def search(texts: list[bytes], tests: list[Callable[[], Tests]]) -> list[tuple]:
     """n_words, n_hit, n_items, digest of the items, contaminated, longest match, its place and its item, per text."""
     number: defaultdict[bytes, int] = defaultdict(count(1).__next__)
@@ -153,8 +145,12 @@ def search(texts: list[bytes], tests: list[Callable[[], Tests]]) -> list[tuple]:
     order = suffix_array(flat)
     hit = np.zeros(len(flat) + 1, np.int64)
     items: defaultdict[int, set[str]] = defaultdict(set)
-    longest = np.zeros(len(texts), np.int64)
-    place, name = np.zeros(len(texts), np.int64), [None] * len(texts)
+    longest, place = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    named = np.full(len(texts), -1, np.int64)  # items by their number over all blocks, which are in the order of names
+    name: list[str | None] = [None] * len(texts)
+    # the match from each position to the suffix that was last seen there
+    match, seen = np.zeros(len(flat) + 1, np.int64), np.full(len(flat) + 1, -1, np.int64)
+    before = 0
     for load in tests:
         t = load()
         known = np.array([number.get(w, -1) for w in t.vocabulary], np.int64)
@@ -164,23 +160,26 @@ def search(texts: list[bytes], tests: list[Callable[[], Tests]]) -> list[tuple]:
         if len(w):
             low = _before(flat, order, query, t.start[w], t.long[w], False)
             high = _before(flat, order, query, t.start[w], t.long[w], True)
-            for k in np.flatnonzero(high > low):
-                at = order[low[k] : high[k]]
+            seen[:] = -1
+            for k in np.flatnonzero(high > low)[::-1]:
+                at, suffix, item = order[low[k] : high[k]], w[k], t.item[w[k]]
                 np.add.at(hit, at, 1)
-                np.add.at(hit, at + t.long[w[k]], -1)
-                for d in np.unique(np.searchsorted(starts, at, "right") - 1):
-                    items[int(d)].add(t.names[t.item[w[k]]])
-            # the longest match of each suffix that has a window: at a neighbour of its place in the order
-            found = w[high > low]
-            if len(found):
-                place_ = _before(flat, order, query, t.start[found], t.left[found], False)
-                for near in (place_ - 1, place_):
-                    at = np.where((near >= 0) & (near < len(order)), order[np.clip(near, 0, len(order) - 1)], -1)
-                    same = _common(flat, at, query, t.start[found], t.left[found])
-                    for k in np.flatnonzero(same):
-                        d = int(np.searchsorted(starts, at[k], "right")) - 1
-                        if same[k] > longest[d]:
-                            longest[d], place[d], name[d] = same[k], at[k] - starts[d], t.names[t.item[found[k]]]
+                np.add.at(hit, at + t.long[suffix], -1)
+                of = np.searchsorted(starts, at, "right") - 1
+                for d in np.unique(of):
+                    items[int(d)].add(t.names[item])
+                goes_on = suffix + 1 < len(t.item) and t.item[suffix + 1] == item
+                same = np.where(seen[at + 1] == suffix + 1, match[at + 1] + 1, t.long[suffix]) if goes_on else np.full(len(at), t.long[suffix])
+                match[at], seen[at] = same, suffix
+                where, number_ = at - starts[of], before + item
+                first = (where < place[of]) | ((where == place[of]) & (number_ < named[of]))
+                better = np.flatnonzero((same > longest[of]) | ((same == longest[of]) & first))
+                better = better[np.lexsort((-where[better], same[better]))]  # the best of a document last
+                d = of[better]
+                longest[d], place[d], named[d] = same[better], where[better], number_
+                for x in np.unique(d):
+                    name[x] = t.names[item]
+        before += len(t.names)
         del t
     inside = np.cumsum(hit)[:-1] > 0
     out = []
@@ -190,8 +189,8 @@ def search(texts: list[bytes], tests: list[Callable[[], Tests]]) -> list[tuple]:
         digest = hashlib.sha256(names.encode()).hexdigest()
         n_items = len(items[d]) if d in items else 0
         bad = n_hit > 0 and 20 * n_hit >= n
-        match = (int(longest[d]), int(place[d]), name[d]) if name[d] is not None else (0, None, None)
-        out.append((int(n), n_hit, n_items, digest, bad, *match))
+        best = (int(longest[d]), int(place[d]), name[d]) if name[d] is not None else (0, None, None)
+        out.append((int(n), n_hit, n_items, digest, bad, *best))
     return out
 
 

@@ -136,6 +136,33 @@ def test_decontamination_is_brute_force(spark, texts):
     assert longest[900] == (20, 1) and longest[904] == (14, 400) and longest[901] == (0, None)
 
 
+def test_longest_matches_of_documents_that_share_items():
+    rng = random.Random(8)
+    items = [("a", words_of(rng, 20)), ("b", words_of(rng, 30)), ("c", "two words"), ("d", "x " * 16), ("e", "one")]
+    items.append(("f", items[1][1]))
+    whole, other = items[0][1], items[1][1].split()
+    texts = [whole, "p " + whole, f"q r {whole} s", f"{whole} {' '.join(other[2:25])} z", " ".join(other), "two words two words", "x " * 40]
+    texts += [" ".join(other[5:18]) + " y " + " ".join(other[3:16]), "one two", "nothing", "", *(" ".join(other[k : k + 15]) for k in range(9))]
+    expected = []
+    for text in texts:
+        ws, best = brute_words(text), (0, 0, "")
+        for name, item in items:
+            iw = brute_words(item)
+            for i in range(len(iw)):
+                for j in range(len(ws)):
+                    n = 0
+                    while i + n < len(iw) and j + n < len(ws) and iw[i + n] == ws[j + n]:
+                        n += 1
+                    if n >= min(13, len(iw)):
+                        best = min(best, (-n, j, name))
+        expected.append((-best[0], best[1], best[2]) if best[0] else (0, None, None))
+    blocks = [[(n, t.encode()) for n, t in part] for part in (items[:2], items[2:])]
+    for parts in (blocks, [sum(blocks, [])]):
+        tests = [lambda p=p: decontaminate.Tests(p, 13) for p in parts]
+        assert [r[5:] for r in decontaminate.search([t.encode() for t in texts], tests)] == expected
+        assert [r[5:] for t in texts for r in decontaminate.search([t.encode()], tests)] == expected
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(5)
     for n, v in ((0, 1), (1, 1), (300, 1), (500, 2), (700, 40)):
