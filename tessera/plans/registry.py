@@ -717,30 +717,45 @@ def _(spark, sf):
 MODEL_COLUMNS = list(FEATURE_SQL)
 
 
+#: Rounds, depth and rate of the models: first stage, out of fold, second stage.
+STAGE1 = {"rounds": 200, "depth": 6, "rate": 0.1}
+OUT_OF_FOLD = {"rounds": 250, "depth": 7, "rate": 0.05}
+STAGE2 = {"rounds": 250, "depth": 6, "rate": 0.04, "positive": 2.5}
+
+
+def _numbers(pairs: DataFrame) -> list[str]:
+    """The columns that a model is trained on."""
+    return [c for c, t in pairs.dtypes if t != "string" and c != "label"]
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pairs with all features, the proxy score for the first score, and the competition by it."""
+    pairs = ranking.competition(features.all_features(_scored(spark, sf_dir)))
+    return models_table(metrics.labelled(pairs, _gold(spark, sf_dir)[0]))
+
+
 @query("gbt_stage1")
 def _(spark, sf):
     """Scores of a boosted model; tested by its metric on held-out records."""
-    pairs = metrics.labelled(features.native_features(_pairs(spark, sf, fixtures.rec_part)), _gold(spark, sf)[0])
-    pairs = models_table(pairs)
-    model = models.train(pairs, MODEL_COLUMNS, rounds=5)
-    return models.predict(model, pairs, MODEL_COLUMNS, "stage1_score").select("s1_id", "sx_id", "label", "stage1_score")
+    pairs = _features(spark, sf)
+    model = models.train(pairs, _numbers(pairs), **STAGE1)
+    return models.predict(model, pairs, _numbers(pairs), "stage1_score").select("s1_id", "sx_id", "label", "stage1_score")
 
 
 @query("gbt_oof")
 def _(spark, sf):
-    pairs = models_table(metrics.labelled(features.native_features(_pairs(spark, sf, fixtures.rec_part)), _gold(spark, sf)[0]))
-    return models.out_of_fold(pairs, MODEL_COLUMNS, rounds=3).select("s1_id", "sx_id", "label", "stage1_score")
+    pairs = _features(spark, sf)
+    return models.out_of_fold(pairs, _numbers(pairs), **OUT_OF_FOLD).select("s1_id", "sx_id", "label", "stage1_score")
 
 
 @query("gbt_stage2")
 def _(spark, sf):
-    """Out-of-fold scores, their competition and collective evidence, and a second model on all of it."""
-    pairs = models_table(metrics.labelled(features.native_features(_pairs(spark, sf, fixtures.rec_part)), _gold(spark, sf)[0]))
-    first = models.out_of_fold(pairs, MODEL_COLUMNS, rounds=3)
-    found = models_table(ranking.collective(ranking.competition(first, "stage1_score"), "stage1_score"))
-    texts = {"s1_id", "sx_id", "label"}
-    columns = [c for c, t in found.dtypes if t != "string" and c not in texts]
-    model = models.train(found, columns, positive=2.5, rounds=3)
+    """Out-of-fold scores, their collective evidence, and a second model on all of it."""
+    pairs = _features(spark, sf)
+    first = models.out_of_fold(pairs, _numbers(pairs), **OUT_OF_FOLD)
+    found = models_table(ranking.collective(first, "stage1_score"))
+    columns = _numbers(found)
+    model = models.train(found, columns, **STAGE2)
     scored = models.predict(model, found, columns, "stage2_score")
     return assign.blend(scored, "stage1_score", "stage2_score", 0.5).select("s1_id", "sx_id", "label", "stage1_score", "stage2_score", "score")
 

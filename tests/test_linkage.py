@@ -226,6 +226,22 @@ def test_model_separates(spark):
     assert models.better((0.5, "a"), (0.5, "b")) == "a"
 
 
+def test_models_are_registered_whole(spark, monkeypatch):
+    train, asked = models.train, []
+
+    def short(pairs, columns, **options):
+        asked.append((options["rounds"], set(columns)))
+        return train(pairs, columns, **options | {"rounds": 1, "depth": 2})
+
+    monkeypatch.setattr(models, "train", short)
+    for name in ("gbt_stage1", "gbt_stage2"):
+        assert registry.QUERIES[name](spark, SF).count() > 0
+    assert [n for n, _ in asked] == [200, 250, 250, 250, 250]
+    whole = {*registry.MODEL_COLUMNS, "name_wratio", "name_token_set", "addr_token_sort", "name_jaro_winkler", "name_translit_sim", "cand_rank", "target_margin"}
+    assert all(whole <= columns and "label" not in columns for _, columns in asked)
+    assert {"stage1_score", "best_sibling_score"} <= asked[-1][1]
+
+
 def test_stream_finds_what_a_batch_finds(spark, tmp_path):
     records = fixtures.rec_part(spark, SF).drop("text").withColumn("arrived", F.lit("2024-01-01").cast("timestamp"))
     new = records.where(F.col("entity_id").startswith("S1-"))
