@@ -4,6 +4,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -642,8 +643,8 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("export_matches", f"WITH {EXPORTED} SELECT * FROM exported")
-def _(spark, sf):
-    return _exported(spark, sf)
+def _(spark, sf, exported=_exported):
+    return exported(spark, sf)
 
 
 @query("export_candidates", f"WITH {edges_sql(PART)} SELECT entity_id AS source1_entity_id, coalesce(string_agg(sx_id, ',' ORDER BY sx_id), '') AS candidate_entity_ids FROM s1 LEFT JOIN edges ON s1_id = entity_id GROUP BY 1")
@@ -653,16 +654,16 @@ def _(spark, sf):
 
 
 @query("import_candidates", f"WITH {EXPORTED} SELECT DISTINCT source1_entity_id AS s1_id, sx_id, split_part(sx_id, '-', 1) AS source FROM (SELECT source1_entity_id, unnest(string_split(matched_entity_ids, ',')) AS sx_id FROM exported) WHERE sx_id <> ''")
-def _(spark, sf):
-    return export.import_lists(_exported(spark, sf), "matched_entity_ids")
+def _(spark, sf, exported=_exported):
+    return export.import_lists(exported(spark, sf), "matched_entity_ids")
 
 
 @query("submission_summary", f"""WITH {EXPORTED} SELECT count(*) AS n_rows, count(*) FILTER (matched_entity_ids = '') AS empty_rows,
   CAST(coalesce(sum(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x LIKE 'S2-%'))), 0) AS BIGINT) AS s2_links,
   CAST(coalesce(sum(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x LIKE 'S3-%'))), 0) AS BIGINT) AS s3_links,
   CAST(coalesce(sum(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> ''))), 0) AS BIGINT) AS links FROM exported""")
-def _(spark, sf):
-    return export.summary(_exported(spark, sf))
+def _(spark, sf, exported=_exported):
+    return export.summary(exported(spark, sf))
 
 
 #: A list with every fault, made of the exported one.
@@ -678,9 +679,9 @@ UNION ALL SELECT 'self_match', count(*) FROM each WHERE s = id UNION ALL SELECT
 UNION ALL SELECT 'missing_s1', count(*) FROM (SELECT entity_id FROM s1 EXCEPT SELECT source1_entity_id FROM broken)
 UNION ALL SELECT 'extra_s1', count(*) FROM broken WHERE source1_entity_id NOT IN (SELECT entity_id FROM s1)
 UNION ALL SELECT 'unknown_id', count(*) FROM each WHERE id NOT IN (SELECT entity_id FROM s2 UNION ALL SELECT entity_id FROM s3)""")
-def _(spark, sf):
+def _(spark, sf, exported=_exported):
     s1, s2, s3 = _sources(fixtures.rec_part, spark, sf)
-    out = _exported(spark, sf)
+    out = exported(spark, sf)
     own = F.col("source1_entity_id")
     wrong = out.where(own.endswith("3")).select(own, F.concat(own, F.lit(",S2-0,S2-0")).alias("matched_entity_ids"))
     odd = spark.range(1).select(F.lit("S9-1").alias("source1_entity_id"), F.lit("X1").alias("matched_entity_ids"))
@@ -699,12 +700,44 @@ def _(spark, sf):
 
 
 @query("delta_apply", f"""WITH {EXPORTED} SELECT source1_entity_id, CASE WHEN matched_entity_ids <> '' THEN matched_entity_ids WHEN source1_entity_id LIKE '%5' THEN 'S2-new' ELSE '' END AS matched_entity_ids FROM exported""")
-def _(spark, sf):
-    out = _exported(spark, sf)
+def _(spark, sf, exported=_exported):
+    out = exported(spark, sf)
     delta = out.where(F.col("source1_entity_id").endswith("5")).select("source1_entity_id", F.lit("S2-new").alias("matched_entity_ids"))
     return assign.apply_delta(out, delta)
 
 
+# the same for both targets; the queries above are those of source 2, as their SQL has them
+
+BOTH_EDGES = f"{PART}, edges AS ({' UNION '.join([*PASS_SQL.values(), *(re.sub(r'\bs2\b', 's3', x) for x in PASS_SQL.values())])})"
+EXPORTED_BOTH = f"""{BOTH_EDGES}, pairs AS (
+  SELECT s1_id, sx_id, a.name_clean AS s1_name, b.name_clean AS sx_name, a.addr_clean AS s1_addr, b.addr_clean AS sx_addr
+  FROM edges JOIN s1 a ON a.entity_id = s1_id JOIN (SELECT * FROM s2 UNION ALL SELECT * FROM s3) b ON b.entity_id = sx_id),
+scored AS (SELECT s1_id, sx_id, round(({FEATURE_SQL['name_jaccard']} + {FEATURE_SQL['addr_jaccard']}) / 2, 6) AS score FROM pairs),
+links AS (SELECT * FROM scored WHERE score >= CASE WHEN sx_id LIKE 'S2-%' THEN 0.44 ELSE 0.47 END
+  QUALIFY row_number() OVER (PARTITION BY sx_id ORDER BY score DESC, s1_id) = 1),
+exported AS (SELECT entity_id AS source1_entity_id, coalesce(string_agg(sx_id, ',' ORDER BY sx_id), '') AS matched_entity_ids
+  FROM s1 LEFT JOIN links ON s1_id = entity_id GROUP BY 1)"""
+
+
+def _exported_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s1, s2, s3 = _sources(fixtures.rec_part, spark, sf_dir)
+    scored = [features.proxy_score(features.attach_text(blocking.block_union(s1, sx), s1, sx)) for sx in (s2, s3)]
+    pairs = scored[0].unionByName(scored[1]).select("s1_id", "sx_id", "score")
+    return pipeline.export_run(assign.exclusive(assign.above_by_target(pairs)), s1)
+
+
+for _name in ("export_matches", "import_candidates", "submission_summary", "validate_rules", "delta_apply"):
+    query(f"{_name}_both", ORACLES[_name].replace(EXPORTED, EXPORTED_BOTH))(
+        lambda spark, sf, f=QUERIES[_name]: f(spark, sf, _exported_both)
+    )
+
+
+@query("export_candidates_both", ORACLES["export_candidates"].replace(edges_sql(PART), BOTH_EDGES))
+def _(spark, sf):
+    s1, s2, s3 = _sources(fixtures.rec_part, spark, sf)
+    return export.export_lists(s1, [blocking.block_union(s1, sx) for sx in (s2, s3)], "candidate_entity_ids")
+
+
 @query("match_run")
 def _(spark, sf):
     """All targets at once, with thresholds, exclusivity and recovery; its parts have oracles of their own."""

@@ -181,6 +181,13 @@ def test_percentile_of_one(spark):
     assert (r.score_percentile, r.target_second_best_base_score, r.cand_rank) == (1.0, 0.0, 1)
 
 
+def test_both_targets_are_exported(spark):
+    found = registry.QUERIES["submission_summary_both"](spark, SF).first()
+    assert found.s2_links > 0 and found.s3_links > 0 and found.links == found.s2_links + found.s3_links
+    lists = [registry.QUERIES[f"export_{k}_both"](spark, SF).toPandas() for k in ("matches", "candidates")]
+    assert all(x.iloc[:, 1].str.contains("S3-").any() for x in lists)
+
+
 def test_validation(spark):
     s1 = frame(spark, [("S1-1",), ("S1-2",)], "entity_id string")
     lists = frame(spark, [("S1-1", "S2-1,S2-1"), ("S1-1", ""), ("S1-9", "S1-9,X")], "source1_entity_id string, matched_entity_ids string")
