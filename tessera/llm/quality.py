@@ -192,7 +192,9 @@ def _judged(
     excuse = F.when(100 * c(marked) <= spared * c(word_chars), c(marked)).otherwise(zero)
     enough = (c(kept_chars) > 0) & (100 * (c(kept_chars) + excuse) >= least_kept * c(word_chars))
     bad = (c(n_words) < least_words) | (100 * c(n_repeat) > most_repeated * c(n_words))
-    return out.withColumns({base_failed: bad, kept: ~bad & enough}).drop(t, f, low, w, g, marked, noticed, judged)
+    # always true, but not deterministic: a filter on ``kept`` is not pushed down, which would compute all of this twice
+    last = F.monotonically_increasing_id() >= 0
+    return out.withColumns({base_failed: bad, kept: ~bad & enough & last}).drop(t, f, low, w, g, marked, noticed, judged)
 
 
 def with_quality(
