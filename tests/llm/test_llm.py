@@ -410,7 +410,7 @@ def test_warc(spark):
 
 def test_sharding(spark, docs):
     more = docs.unionByName(spark.range(100, 3100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), True)
-    rows = sharding.with_shards(more, sharding.Tree.even(8), buckets=5).collect()
+    rows = sharding.with_shards(more, sharding.Tree.even(8), sharding.Tree.even(9), buckets=5).collect()
     assert len(rows) == more.count()
     by = collections.defaultdict(list)
     for r in rows:
@@ -438,6 +438,33 @@ def test_sharding_moves_only_in_changed_subtrees(spark):
     assert all(b in (4, 5) for a, b in moved if a >= 4)
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    counts = list(range(1, 22))
+    placed = spark.range(20_000).select(*[sharding.shard_of(sharding.Tree.even(n), F.col("id")).alias(f"n{n}") for n in counts])
+    rows = placed.collect()
+    for n in counts:
+        share = collections.Counter(r[f"n{n}"] for r in rows)
+        assert set(share) == set(range(n))
+        assert all(abs(c - 20_000 / n) < 6 * (20_000 / n) ** 0.5 for c in share.values()), (n, share)
+    for n in counts[:-1]:
+        moved = [r[f"n{n + 1}"] for r in rows if r[f"n{n}"] != r[f"n{n + 1}"]]
+        assert moved and set(moved) == {n}
+
+
+def test_sharding_edges(spark, docs):
+    clash = docs.withColumns({c: F.lit("mine") for c in ("shard", "slot", "size", "bucket", "row", "first", "n")})
+    tree = sharding.Tree.even(3)
+    assert sharding.with_shards(clash, tree, tree).count() == docs.count()
+    assert sharding.with_shards(docs.limit(0), tree, tree).count() == 0
+    long = spark.createDataFrame([(1, "é" * 3_000_000)], "doc_id long, text string")
+    assert sharding.with_shards(long, tree, tree).first().size == 6_000_001
+    light = sharding.Tree({"a": {"r": {0: 0.0}}, "b": {"r": {1: 0.0, 2: 1.0}, "q": {3: 3.0}}})
+    got = collections.Counter(r[0] for r in spark.range(4000).select(sharding.shard_of(light, F.col("id"))).collect())
+    assert set(got) == {2, 3} and 2.6 < got[3] / got[2] < 3.4
+    with pytest.raises(ValueError):
+        sharding.shard_of(sharding.Tree({"a": {"r": {0: 0.0}}}), F.col("id"))
+
+
 # 8 extraction
 
 
