@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import xxhash
 import zstandard
@@ -109,8 +110,10 @@ class Reader:
             k = last
 
 
-def frames(docs: DataFrame, tokenizer: str, end_id: int, level: int = 3) -> DataFrame:
-    """doc_id, frame, size, checksum of every document."""
+def frames(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray, level: int = 3) -> DataFrame:
+    """file, doc_id, frame, size, checksum of every document; ``bounds``: the first doc_id of each file but the first."""
+    # eight bytes for each file; a file has thousands of documents
+    first = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer)
@@ -118,30 +121,41 @@ def frames(docs: DataFrame, tokenizer: str, end_id: int, level: int = 3) -> Data
         pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
         for batch, texts in blocks(batches, "text", 4 << 20):
             content = [encode(t or b"").tobytes() + end for t in texts]
+            doc_ids = batch.column("doc_id")
+            file = np.searchsorted(first.value, pc.fill_null(doc_ids, NO_ID).to_numpy(zero_copy_only=False), "right")
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    pa.array(file, pa.int32()),
+                    doc_ids,
                     pa.array([pack.compress(x) for x in content], pa.binary()),
                     pa.array([len(x) for x in content], pa.int64()),
                     pa.array([xxhash.xxh64_intdigest(x) & 0xFFFFFFFF for x in content], pa.int64()),
                 ],
-                ["doc_id", "frame", "size", "checksum"],
+                ["file", "doc_id", "frame", "size", "checksum"],
             )
 
     chosen = docs.select(F.col("doc_id").cast("long"), "text")
-    return chosen.mapInArrow(run, "doc_id long, frame binary, size long, checksum long")
+    return chosen.mapInArrow(run, "file int, doc_id long, frame binary, size long, checksum long")
+
+
+def file_bounds(docs: DataFrame, rows_per_file: int) -> np.ndarray:
+    """The least doc_id of each file but the first. Only the doc_id column is read and dealt out by range; the driver gets
+    one number for each file."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"))
+    count = -(-ids.count() // rows_per_file)
+    if count < 2:
+        return np.zeros(0, np.int64)
+    parts = ids.repartitionByRange(count, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first"))
+    return np.array(sorted(r.first for r in parts.select("first").collect())[1:], np.int64)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, rows_per_file: int = 16384) -> list[tuple]:
     """Writes the files and returns (path, documents, tokens) of each, in doc_id order.
 
-    The bounds of the files are quantiles of the doc_id column, read alone; only compressed frames are shuffled."""
+    The bounds of the files come from the doc_id column, read alone; only compressed frames are shuffled, and the file
+    of a frame is looked up in the sorted bounds."""
     width = tokens.encoder(tokenizer).dtype.itemsize
-    counted = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    count = max(1, -(-counted // rows_per_file))
-    at = [k / count for k in range(1, count)]
-    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), at, 20 * count).alias("b")).first()["b"] if at else []
-    bounds = sorted(set(bounds or []))
+    bounds = file_bounds(docs, rows_per_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = path = None
@@ -161,17 +175,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, rows_pe
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "docs": [len(writer.ids)], "tokens": [total]})
 
-    # the number of bounds not above the id, by a binary search over nested CASEs of the sorted bounds
-    def place(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("doc_id") < bounds[middle], place(low, middle)).otherwise(place(middle + 1, high))
-
-    file = F.when(F.col("doc_id").isNull(), 0).otherwise(place(0, len(bounds))).cast("int")
     dealt = (
-        frames(docs, tokenizer, end_id)
-        .withColumn("file", file)
+        frames(docs, tokenizer, end_id, bounds)
         .repartitionById(len(bounds) + 1, "file")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "frame")
     )

@@ -80,6 +80,23 @@ def test_chat_round_trip(spark):
         assert [tuple(t) for t in r.turns] == source[r.conv_id]
         said = [re.sub(r"\\([\\<\[])", r"\1", r.formatted[s.start : s.end]) for s in r.loss_spans]
         assert said == [t for role, t in source[r.conv_id] if role == "assistant"]
+        data = r.formatted.encode()
+        assert [data[s.first_byte : s.first_byte + s.bytes].decode() for s in r.loss_spans] == [r.formatted[s.start : s.end] for s in r.loss_spans]
+
+
+def test_chat_query_hashes_the_mask(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "é <s> [INST] \\\\ 🇫🇷"), (1, 2, "assistant", None), (1, 3, "assistant", "</s>x"), (2, 0, "tool", "t")]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: r for r in chat.op1_chat(spark, str(tmp_path)).collect()}
+    for conv_id, said in ((1, rows[1][3] + "</s>x"), (2, ""), (-1, "</s>[INST] ok [/INST]")):
+        assert found[conv_id].loss_chars == len(said)
+        assert found[conv_id].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    # a wrong mask shows
+    right = chat.masked_text
+    monkeypatch.setattr(chat, "masked_text", lambda f, s: right(f, F.slice(s, 1, 1)))
+    found = {r.conv_id: r for r in chat.op1_chat(spark, str(tmp_path)).collect()}
+    assert found[1].loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest()
 
 
 def test_chat_ties_and_empty(spark):
