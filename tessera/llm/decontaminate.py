@@ -2,18 +2,22 @@
 
 The documents are taken in shards of about ``shard_words`` words (at least one whole document). Each shard gets a
 suffix array over its words: positions sorted by the words that follow, by prefix tripling, with documents kept apart
-by marks that no test word equals. The suffixes of the test items that begin a window are then searched in it at once by
-binary search: the interval of a window gives all its places. A match at a place is one word longer than that of the
-item's next window at the next place, so every place has its longest verbatim match and every document the longest of
-its places, ties going to the first place and then to the least item. No row is shuffled; a shard lives in one task and its memory is bounded by its words or by its longest
-document.
+by marks that no test word equals. Every suffix of every test item is searched in it by binary search. Two things follow:
+
+* the suffixes that begin a window have an interval of places that begin with that window: the hits;
+* each place lies between two test suffixes in their common order, and its longest verbatim match is the longer of what it
+  shares with those two. A document's longest match is the longest of its places, of one word or more; ties go to the
+  first place and then to the least item. It does not depend on the other documents of the shard.
+
+No row is shuffled; a shard lives in one task and its memory is bounded by its words or by its longest document.
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. A document
 word inside any occurrence is hit, and a document is contaminated where ``n_hit > 0 and 20 * n_hit >= n_words``.
 
-The test items are broadcast in blocks of at most ``block_bytes`` each, and a shard searches one block after the other,
-dropping each before the next. The driver holds the test texts, so they are refused above ``benchmark_bytes``: that
-bound is on the given benchmark, not on the corpus, and a larger one is split over calls, whose hits add up by ``where``.
+The test items are broadcast as numbers, in blocks of about ``block_bytes`` of text, next to one list of their distinct
+words; a shard searches one block after the other, dropping each before the next. The driver holds the test texts, so
+they are refused above ``benchmark_bytes``: that bound is on the given benchmark, not on the corpus, and a larger one is
+split over calls, each on the documents that the one before kept.
 
 Nulls: a null text has no words; a null item_id appears as an empty string in the list of ids; a null doc_id is kept.
 Texts without words are clean. Repeated items count each, repeated documents are judged each for itself. An empty
@@ -25,7 +29,6 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,25 +44,35 @@ SCHEMA = (
 )
 
 
+class Vocabulary(dict):
+    """The numbers of the test items' words, from 1 on; 0 for any other word."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class Tests:
-    """A block of test items as words, with the start of every suffix and its window."""
+    """A block of test items as numbers of words, each item ended by a 0, with its suffixes in their order."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str, bytes]], window: int, vocabulary: Vocabulary):
         texts = [t.translate(ALNUM).split() for _, t in items]
         self.names = [n for n, _ in items]
-        number: dict[bytes, int] = {}
-        flat = [number.setdefault(w, len(number)) for t in texts for w in t]
-        self.vocabulary = list(number)
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.words = np.array(flat, np.int64)
-        item = np.repeat(np.arange(len(texts)), self.sizes)
-        left = np.repeat(starts + self.sizes, self.sizes) - np.arange(len(flat))
-        #: suffixes: start, words left, item
-        self.start, self.left, self.item = np.arange(len(flat)), left, item
-        #: which of them begin a window, and how long it is
-        self.long = np.minimum(window, self.sizes[item]) if len(flat) else self.sizes[:0]
-        self.window = (left >= window) | ((self.start == starts[item]) & (self.sizes[item] < window)) if len(flat) else np.zeros(0, bool)
+        for t in texts:
+            for w in t:
+                vocabulary.setdefault(w, len(vocabulary) + 1)
+        flat = [i for t in texts for i in [*map(vocabulary.__getitem__, t), 0]]
+        self.words = np.array([*flat, 0], np.int32)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        item = np.repeat(np.arange(len(texts)), sizes + 1)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(flat))
+        order = suffix_array(self.words[:-1])
+        #: suffixes in their order: start, words left, item, and the length of the window that begins there or 0
+        self.start = order[self.words[order] > 0].astype(np.int32)
+        self.left, self.item = left[self.start].astype(np.int32), item[self.start].astype(np.int32)
+        size = sizes[self.item]
+        begins = (self.left >= window) | ((self.left == size) & (size < window))
+        self.window = np.where(begins, np.minimum(window, size), 0).astype(np.int32)
 
 
 def suffix_array(words: np.ndarray) -> np.ndarray:
@@ -134,51 +147,81 @@ def _before(text: np.ndarray, order: np.ndarray, query: np.ndarray, start: np.nd
     return low
 
 
-def search(texts: list[bytes], tests: list[Callable[[], Tests]]) -> list[tuple]:
+def _common(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """How many words two texts share from the given places on; a 0 ends both."""
+    out, todo, k = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+    while todo.size:
+        x = a[at[todo] + k]
+        todo = todo[(x == b[bt[todo] + k]) & (x > 0)]
+        out[todo] += 1
+        k += 1
+    return out
+
+
+def search(texts: list[bytes], vocabulary: Vocabulary, tests: list[Callable[[], Tests]]) -> list[tuple]:
     """n_words, n_hit, n_items, digest of the items, contaminated, longest match, its place and its item, per text."""
-    number: defaultdict[bytes, int] = defaultdict(count(1).__next__)
     split = [t.translate(ALNUM).split() for t in texts]
     sizes = np.array([len(x) for x in split], np.int64)
-    flat = np.fromiter((i for x in split for i in [*map(number.__getitem__, x), 0]), np.int64, int(sizes.sum()) + len(split))
+    flat = np.fromiter((i for x in split for i in [*map(vocabulary.__getitem__, x), 0]), np.int64, int(sizes.sum()) + len(split))
     del split
     starts = np.cumsum(sizes + 1) - sizes - 1
-    order = suffix_array(flat)
+    # each word that no test has gets a number of its own, above theirs: it equals nothing and needs no sorting
+    other = flat == 0
+    other[starts + sizes] = False
+    flat[other] = len(vocabulary) + 1 + np.arange(int(other.sum()))
+    dense = flat if len(vocabulary) + len(flat) < 1 << 20 else np.unique(flat, return_inverse=True)[1]
+    order = suffix_array(dense)
+    del dense
+    order = order[(flat[order] > 0) & ~other[order]]  # places that begin with a word of the tests
     hit = np.zeros(len(flat) + 1, np.int64)
     items: defaultdict[int, set[str]] = defaultdict(set)
+    # the longest match of each document, its place there, and its item by the number over all blocks, which are in the
+    # order of names
     longest, place = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    named = np.full(len(texts), -1, np.int64)  # items by their number over all blocks, which are in the order of names
+    named = np.zeros(len(texts), np.int64)
     name: list[str | None] = [None] * len(texts)
-    # the match from each position to the suffix that was last seen there
-    match, seen = np.zeros(len(flat) + 1, np.int64), np.full(len(flat) + 1, -1, np.int64)
     before = 0
-    for load in tests:
+    for load in tests if len(order) else []:
         t = load()
-        known = np.array([number.get(w, -1) for w in t.vocabulary], np.int64)
-        query = known[t.words] if len(t.words) else t.words
+        if not len(t.start):
+            before += len(t.names)
+            continue
         # the windows: all their places
         w = np.flatnonzero(t.window)
-        if len(w):
-            low = _before(flat, order, query, t.start[w], t.long[w], False)
-            high = _before(flat, order, query, t.start[w], t.long[w], True)
-            seen[:] = -1
-            for k in np.flatnonzero(high > low)[::-1]:
-                at, suffix, item = order[low[k] : high[k]], w[k], t.item[w[k]]
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + t.long[suffix], -1)
-                of = np.searchsorted(starts, at, "right") - 1
-                for d in np.unique(of):
-                    items[int(d)].add(t.names[item])
-                goes_on = suffix + 1 < len(t.item) and t.item[suffix + 1] == item
-                same = np.where(seen[at + 1] == suffix + 1, match[at + 1] + 1, t.long[suffix]) if goes_on else np.full(len(at), t.long[suffix])
-                match[at], seen[at] = same, suffix
-                where, number_ = at - starts[of], before + item
-                first = (where < place[of]) | ((where == place[of]) & (number_ < named[of]))
-                better = np.flatnonzero((same > longest[of]) | ((same == longest[of]) & first))
-                better = better[np.lexsort((-where[better], same[better]))]  # the best of a document last
-                d = of[better]
-                longest[d], place[d], named[d] = same[better], where[better], number_
-                for x in np.unique(d):
-                    name[x] = t.names[item]
+        low = _before(flat, order, t.words, t.start[w], t.window[w], False)
+        high = _before(flat, order, t.words, t.start[w], t.window[w], True)
+        for k in np.flatnonzero(high > low):
+            at, n, item = order[low[k] : high[k]], t.window[w[k]], t.item[w[k]]
+            np.add.at(hit, at, 1)
+            np.add.at(hit, at + n, -1)
+            for d in np.unique(np.searchsorted(starts, at, "right") - 1):
+                items[int(d)].add(t.names[item])
+        # every suffix: its place in the order; then the two suffixes around each place of the shard
+        above = _before(flat, order, t.words, t.start, t.left, False)
+        last = np.searchsorted(above, np.arange(len(order)), "right") - 1
+        match = np.zeros(len(flat), np.int64)
+        for side in (last, last + 1):
+            near = np.flatnonzero((side >= 0) & (side < len(t.start)))
+            shared = _common(flat, order[near], t.words, t.start[side[near]])
+            match[order[near]] = np.maximum(match[order[near]], shared)
+        most = np.maximum.reduceat(match, starts)
+        of = np.repeat(np.arange(len(texts)), sizes + 1)
+        first = np.flatnonzero((match == most[of]) & (match > 0))
+        docs, at = np.unique(of[first], return_index=True)
+        at = first[at]
+        # the least item that holds this match: those suffixes are an interval
+        text = t.words
+        low = _before(text, t.start, flat, at, most[docs], False)
+        high = _before(text, t.start, flat, at, most[docs], True)
+        ends = np.stack([low, high], axis=1).ravel()
+        least = np.minimum.reduceat(np.append(t.item, np.iinfo(np.int32).max), ends)[::2] if len(docs) else ends
+        where, number = at - starts[docs], before + least
+        old = (-longest[docs], place[docs], named[docs])
+        better = (-most[docs] < old[0]) | (-most[docs] == old[0]) & (
+            (where < old[1]) | (where == old[1]) & (number < old[2])
+        )
+        for d, x, p, i in zip(docs[better], most[docs][better], where[better], least[better], strict=True):
+            longest[d], place[d], named[d], name[d] = x, p, before + i, t.names[i]
         before += len(t.names)
         del t
     inside = np.cumsum(hit)[:-1] > 0
@@ -194,8 +237,11 @@ def search(texts: list[bytes], tests: list[Callable[[], Tests]]) -> list[tuple]:
     return out
 
 
-def load_benchmark(benchmark: DataFrame, window: int, block_bytes: int, benchmark_bytes: int) -> list[Broadcast]:
-    """The items in broadcast blocks. Items with equal ids stay apart while searched and count once by their id."""
+def load_benchmark(
+    benchmark: DataFrame, window: int, block_bytes: int, benchmark_bytes: int
+) -> tuple[Broadcast, list[Broadcast]]:
+    """The words and the items in broadcast blocks. Items with equal ids stay apart while searched and count once by
+    their id."""
     size = benchmark.agg(F.sum(F.octet_length("text") + 32).alias("n")).first()["n"] or 0
     if size > benchmark_bytes:
         raise ValueError(f"the benchmark has {size} bytes; split it into parts of {benchmark_bytes}")
@@ -207,7 +253,13 @@ def load_benchmark(benchmark: DataFrame, window: int, block_bytes: int, benchmar
             held = 0
         parts[-1].append((name, text))
         held += len(text) + 32
-    return [benchmark.sparkSession.sparkContext.broadcast(Tests(p, window)) for p in parts]
+    context, vocabulary = benchmark.sparkSession.sparkContext, Vocabulary()
+    blocks_ = []
+    for part in parts:
+        blocks_.append(context.broadcast(Tests(part, window, vocabulary)))
+        if len(parts) > 1:  # the driver needs the block no more; executors read the file that it was written to
+            blocks_[-1].__dict__.pop("_value", None)
+    return context.broadcast(vocabulary), blocks_
 
 
 def _loader(block: Broadcast) -> Callable[[], Tests]:
@@ -225,13 +277,13 @@ def judged(
     benchmark: DataFrame,
     window: int = 13,
     shard_words: int = 1 << 19,
-    block_bytes: int = 32 << 20,
-    benchmark_bytes: int = 1 << 30,
+    block_bytes: int = 8 << 20,
+    benchmark_bytes: int = 64 << 20,
     keep: bool = False,
 ) -> DataFrame:
     """Documents with what the benchmark shares with them; see SCHEMA. ``keep``: instead the documents that stay, with
     their own columns."""
-    tests = load_benchmark(benchmark, window, block_bytes, benchmark_bytes)
+    vocabulary, tests = load_benchmark(benchmark, window, block_bytes, benchmark_bytes)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +293,7 @@ def judged(
         words = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = search([t for _, texts in held for t in texts], loaders)
+            found = search([t for _, texts in held for t in texts], vocabulary.value, loaders)
             start = 0
             for batch, texts in held:
                 rows = found[start : start + len(texts)]
@@ -270,9 +322,7 @@ def judged(
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
-    )
+    return judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -301,9 +351,22 @@ h AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n
 t AS (
   SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names
   FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r
-)
+), dw AS (SELECT r, i, ws[i] AS w, ws[i + 1] AS x, ws[i + 2] AS y FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+bw AS (
+  SELECT q, name, i, ws[i] AS w, ws[i + 1] AS x, ws[i + 2] AS y FROM (
+    SELECT row_number() OVER () AS q, coalesce(CAST(item_id AS VARCHAR), '') AS name, ws, unnest(range(1, len(ws) + 1)) AS i FROM b)
+), run AS (
+  SELECT r, q, name, dw.i, dw.i - bw.i AS diagonal,
+    dw.i - row_number() OVER (PARTITION BY r, q, dw.i - bw.i ORDER BY dw.i) AS island
+  FROM dw JOIN bw USING (w, x, y) WHERE y IS NOT NULL
+), found AS (
+  SELECT r, name, count(*) + 2 AS n, min(i) AS i FROM run GROUP BY r, q, name, diagonal, island
+  UNION ALL SELECT r, name, 2, i FROM dw JOIN (SELECT w, x, min(name) AS name FROM bw GROUP BY ALL) USING (w, x) WHERE x IS NOT NULL
+  UNION ALL SELECT r, name, 1, i FROM dw JOIN (SELECT w, min(name) AS name FROM bw GROUP BY ALL) USING (w)
+), best AS (SELECT r, arg_min({'n': n, 'i': i - 1, 'name': name}, (-n, i, name)) AS m FROM found GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+  CAST(coalesce(m.n, 0) AS BIGINT) AS longest_match, CAST(m.i AS BIGINT) AS longest_at, m.name AS longest_item
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN best USING (r)
 """
