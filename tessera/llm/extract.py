@@ -1,12 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line's weight is its text length; lines inside menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, and lines that are mostly links, weigh
-nothing. Weights are summed over sliding windows of ``window`` lines. A surge is where such a sum reaches the
-threshold, a dive where it falls to nothing; all weighing lines from a surge (with those that touch it from above) to
-the next dive are kept. The threshold is ``surge`` characters, or half the largest sum if that is less. Lines in an
-``article`` or ``main`` weigh two thresholds more, so a short one is a surge too; lines outside are judged by their own
-text, since windows and surges end at the edges of an article.
+Markup is stripped into lines, one per block element. Two kinds of elements are taken out first: those whose tag says that
+they hold something beside the article (menus, headers, footers, sidebars, forms, scripts), and those with a class, id or
+role that is, as a whole, one of ``BESIDE`` or ``PERHAPS``, where the page's text agrees. An element of ``BESIDE`` stays
+where the rest of the page has no article or first heading and less text than it; one of ``PERHAPS`` also stays where its
+lines are dense enough to surge.
+
+The rest is judged by its distribution. A line weighs its length, or nothing if it is mostly links; weights are summed over
+sliding windows of ``window`` lines inside a run: the lines of one ``article`` or ``main``, or those between two of them.
+A run surges where a sum reaches the threshold and dives behind the last line of the last such window. Runs without a
+surge are dropped. Of a run outside articles everything from its first surge to its last dive is kept, short lines too, but
+for two or more lines of links on end; in an article a surge spreads to the article's edges. The threshold is ``surge``
+characters, or half the largest sum of the page's articles if that is less; without an article, half that of the page.
 
 Character references are decoded after markup is gone; white space in a block becomes one space; blocks are joined by
 line feeds. Text is never cut or capped.
@@ -21,7 +26,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,50 +54,68 @@ BLOCK = {
 ARTICLE = {"article", "main"}
 #: Elements that an open one of the same kind ends.
 SELF_ENDING = {"p", "li", "dt", "dd", "tr", "option"}
-#: Parts of class, id and role that name something beside the text; whole parts, then beginnings of parts.
-PARTS = {
-    "ad", "ads", "alert", "banner", "consent", "footer", "gdpr", "login", "masthead", "menu", "menubar", "modal", "nav",
-    "navbar", "notice", "notices", "pager", "popup", "promo", "related", "share", "sharing", "signup", "social",
-    "toolbar", "widget", "complementary", "contentinfo", "search", "disqus", "replies",
+#: Whole classes, ids and roles of what stands beside a text.
+BESIDE = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "ad-banner", "ad-box", "ad-container", "ad-slot", "sponsored",
+    "sponsor", "promo", "promoted", "banner-ad", "sidebar", "side-bar", "left-sidebar", "right-sidebar", "nav", "navbar",
+    "navigation", "main-nav", "top-nav", "site-nav", "menu", "main-menu", "top-menu", "site-menu", "menubar", "breadcrumb",
+    "breadcrumbs", "pagination", "pager", "site-header", "page-header", "masthead", "site-footer", "page-footer", "footer",
+    "contentinfo", "complementary", "comments", "comment", "comment-list", "commentlist", "comments-section", "comments-area",
+    "user-comments", "reader-comments", "disqus", "disqus_thread", "replies", "cookie", "cookies", "cookie-notice",
+    "cookie-banner", "cookie-consent", "cookie-bar", "consent", "gdpr", "newsletter", "newsletter-signup", "subscribe",
+    "subscription", "popup", "modal", "toolbar", "share-buttons", "social-links", "social-share", "related-posts",
+    "related-articles",
+}
+#: Names that a part of a text may also have.
+PERHAPS = {
+    "alert", "banner", "header", "login", "notice", "notices", "related", "search", "share", "sharing", "signup", "social",
+    "widget", "tags", "skip", "skip-link",
 }
-BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "navigation", "newsletter", "pagination", "sidebar", "sponsor", "subscri")
+WINDOW, SURGE = 3, 86
+
 
+@dataclass
+class Line:
+    text: str
+    weight: int
+    section: int  # the number of the article, 0 outside
+    heading: bool
+    gone: bool = False
 
-def _beside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds something other than the article."""
-    if name in ASIDE or name == "header" and not in_article:
-        return True
-    if name in ARTICLE and not attributes or name in ("html", "body") or "=" not in attributes:
-        return False
-    for _, *values in ATTRIBUTE.findall(attributes):
-        for part in re.split(r"[^a-z0-9]+", "".join(values).lower()):
-            if part in PARTS or part.startswith(BEGINNINGS):
-                return True
-    return False
 
+def _named(attributes: str) -> set[str]:
+    """Which of BESIDE and PERHAPS the element is named."""
+    found = {x for _, *values in ATTRIBUTE.findall(attributes) for x in "".join(values).lower().split()}
+    return found & (BESIDE | PERHAPS)
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, whether in an article) of each line."""
-    out: list[tuple[str, int, bool]] = []
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page; ``gone`` marks those of elements beside the text."""
+    out: list[Line] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, beside, article
-    beside = article = False
+    stack: list[tuple[str, bool, int, int]] = []  # name, beside by its tag, article, its place in the named elements
+    beside, section, sections = False, 0, 0
+    named: list[list] = []  # first line, line after the last, whether the name is one of BESIDE
     endless: set[str] = set()  # raw elements with no end tag in the rest of the page
 
     def end() -> None:
         nonlocal text, linked
         if text:
             line = " ".join(html.unescape("".join(text)).split())
-            weight = 0 if beside or 2 * linked > len(line) + linked // 2 and linked > 0 and not article else len(line)
-            out.append((line, weight, article))
+            heading = any(x[0] == "h1" for x in stack)
+            if line:
+                out.append(Line(line, 0 if 2 * linked > len(line) else len(line), section, heading, beside))
             text, linked = [], 0
 
     def pop(k: int) -> None:
-        nonlocal beside, article
+        nonlocal beside, section
         end()
+        for x in stack[k:]:
+            if x[3] >= 0:
+                named[x[3]][1] = len(out)
         del stack[k:]
-        beside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        beside, section = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
     at, size = 0, len(page)
     while at < size:
@@ -112,7 +136,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 end()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name in BLOCK or any(x[0] in BLOCK for x in stack[k:]) or stack[k][1] != (k > 0 and stack[k - 1][1]):
+                    changed = stack[k][1] != (k > 0 and stack[k - 1][1])
+                    if name in BLOCK or changed or any(x[0] in BLOCK or x[3] >= 0 for x in stack[k:]):
                         pop(k)
                     else:
                         del stack[k:]
@@ -143,42 +168,72 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                             break
             elif name in ("td", "th"):
                 text.append(" ")
-            aside = _beside(name, attributes, article)
-            if aside and not beside:
+            aside = name in ASIDE or name == "header" and not section
+            names = _named(attributes) if "=" in attributes and name not in ("html", "body") else set()
+            if aside and not beside or names:
+                end()
+            if name in ARTICLE and not section and not beside and not aside:
                 end()
+                sections += 1
+                section = sections
             beside = beside or aside
-            article = article or (name in ARTICLE and not beside)
-            stack.append((name, beside, article))
+            if names:
+                named.append([len(out), -1, bool(names & BESIDE)])
+            stack.append((name, beside, section, len(named) - 1 if names else -1))
     end()
+    for span in named:
+        _judge_named(out, span[0], span[1] if span[1] >= 0 else len(out), span[2])
     return out
 
 
-def between(found: list[tuple[str, int, bool]], window: int = 3, surge: int = 86) -> str:
+def _judge_named(out: list[Line], first: int, last: int, surely: bool) -> None:
+    """Takes the lines of an element with a telling name out, where the page's text agrees."""
+    own = out[first:last]
+    if not surely and max(_sums([x.weight for x in own if not x.gone], WINDOW), default=0) >= SURGE:
+        return
+    rest = [x for part in (out[:first], out[last:]) for x in part if not x.gone]
+    if any(x.section or x.heading for x in rest) or sum(len(x.text) for x in rest) >= sum(len(x.text) for x in own):
+        for x in own:
+            x.gone = True
+
+
+def _sums(weights: list[int], window: int) -> list[int]:
+    """The sum of the window that begins at each place; windows at the end are shorter."""
+    total = [0, *accumulate(weights)]
+    return [total[min(i + window, len(weights))] - total[i] for i in range(len(weights))]
+
+
+def between(found: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The lines from surges to dives."""
-    parts = []  # the lines, weights and window sums of each stretch in or outside an article
-    for article, part in groupby(found, lambda x: x[2]):
-        part = list(part)
-        weights = [w + 2 * surge if article and w else w for _, w, _ in part]
-        parts.append((part, weights, [sum(weights[i : i + window]) for i in range(len(weights))]))
-    threshold = min(surge, max((t for _, _, total in parts for t in total), default=0) / 2)
+    runs = [list(part) for _, part in groupby((x for x in found if not x.gone), lambda x: x.section)]
+    sums = [_sums([x.weight for x in run], window) for run in runs]
+    peak = max((max(s) for run, s in zip(runs, sums, strict=True) if run[0].section), default=0)
+    inside = min(surge, peak / 2)
+    outside = surge if peak else min(surge, max((max(s) for s in sums), default=0) / 2)
     kept = []
-    for part, weights, total in parts:
-        i, n = 0, len(part)
-        while i < n:
-            if total[i] < threshold or not weights[i]:
-                i += 1
-                continue
-            first = i
-            while first and weights[first - 1]:
-                first -= 1
-            while i < n and total[i]:
-                i += 1
-            kept += [t for t, w, _ in part[first:i] if w]
-    return "\n".join(kept)
+    for run, total in zip(runs, sums, strict=True):
+        article = run[0].section > 0
+        high = [i for i, t in enumerate(total) if t and t >= (inside if article else outside)]
+        if not high:
+            continue
+        if article:
+            kept += [x.text for x in run]
+            continue
+        # the first window that is high may begin with lines that weigh nothing
+        part = run[high[0] : high[-1] + window]
+        while not part[0].weight:
+            del part[0]
+        while not part[-1].weight:
+            del part[-1]
+        for weighs, group in groupby(part, lambda x: x.weight > 0):
+            group = list(group)
+            if weighs or len(group) < 2:
+                kept += [x.text for x in group]
+    return kept
 
 
 def main_text(page: str | None) -> str:
-    return between(lines(page)) if page else ""
+    return "\n".join(between(lines(page))) if page else ""
 
 
 def extracted(pages: DataFrame) -> DataFrame:

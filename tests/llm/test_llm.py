@@ -519,6 +519,88 @@ def test_extraction_judges_text_outside_articles():
     assert extract.main_text(page).split("\n") == [*story, "Teaser 0", "Teaser 1"]
 
 
+STORY = [f"Paragraph {k} of the story says something in a sentence or two, as such paragraphs do; it goes on a while." for k in range(6)]
+
+
+def test_windows_find_the_text_without_article_tags():
+    link = "<li><a href=x>Another page of ours</a></li>"
+    before = "<div>Site</div><div>Tuesday</div><div>en</div><div>de</div><div>fr</div><div>es</div>"
+    body = f"<h2>Title</h2><p>{STORY[0]}</p><p>Short.</p><div class=ad>Buy now</div><p>{STORY[1]}</p><p>{STORY[2]}</p><p>The end.</p>"
+    after = f"<ul>{link * 8}</ul><div>Imprint</div><div>Contact</div>"
+    page = f"<body>{before}<div>{body}</div>{after}</body>"
+    text = extract.main_text(page).split("\n")
+    story = ["Title", STORY[0], "Short.", STORY[1], STORY[2], "The end."]
+    assert [x for x in text if x in story] == story and len(text) <= len(story) + 2
+    # the windows decide: without them the lines around would stay
+    found = extract.lines(page)
+    assert len([x for x in found if not x.gone]) > len(text) + 10
+    # a sum over one line only would drop the title, over none everything
+    assert "Title" not in extract.between(found, window=1)
+    # an unmarked list of links between two parts is a dive, one line of them is not
+    page = f"<div>{STORY[0]}</div><div>{STORY[1]}</div>{{}}<div>{STORY[2]}</div>"
+    assert extract.main_text(page.format(f"<ul>{link * 4}</ul>")).split("\n") == STORY[:3]
+    assert len(extract.main_text(page.format(f"<p>{link}</p>")).split("\n")) == 4
+
+
+def test_no_block_of_an_article_is_lost_by_its_name():
+    parts = [f"<div class='{c}'>{t}</div>" for c, t in zip(("social-history", "search", "comment-policy", "related work", "notice", "x"), STORY)]
+    for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='ad-free'>", "</div>"), ("<div class=sidebar>", "</div>")):
+        page = f"<body><nav>Menu</nav>{open_}<h1>T</h1>{''.join(parts)}<div class='x ads'>Buy</div><p>Bye.</p>{close}<footer>F</footer></body>"
+        assert extract.main_text(page).split("\n") == ["T", *STORY, "Bye."], open_
+    page = f"<article><h1>T</h1><p>a</p><p>{STORY[0]}</p><button>Go</button><p>b <span class=ad>Buy</span> c</p></article><div role=search>Find</div>"
+    assert extract.main_text(page).split("\n") == ["T", "a", STORY[0], "b", "c"]
+    # more text of readers than of the article
+    page = f"<article><h1>T</h1><p>{STORY[0]}</p></article><section id=comments>{''.join(f'<p>{x}</p>' for x in STORY * 3)}</section>"
+    assert extract.main_text(page).split("\n") == ["T", STORY[0]]
+
+
+def test_between_is_brute_force():
+    rng = random.Random(6)
+    for _ in range(400):
+        found, section, at = [], 0, 0
+        for k in range(rng.randrange(1, 30)):
+            if rng.random() < 0.15:
+                at, section = (at + 1, at + 1) if section == 0 and rng.random() < 0.6 else (at, 0)
+            size = rng.choice([0, 5, 20, 40, 100, 300])
+            found.append(extract.Line(f"{k}", size, section, False, rng.random() < 0.1))
+        seen = [x for x in found if not x.gone]
+        runs = []
+        for k, x in enumerate(seen):
+            if k and seen[k - 1].section == x.section:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        sums = [[sum(x.weight for x in run[i : i + 3]) for i in range(len(run))] for run in runs]
+        articles = [t for run, total in zip(runs, sums) for t in total if run[0].section]
+        peak = max(articles, default=0)
+        expected = []
+        for run, total in zip(runs, sums):
+            limit = min(86, peak / 2) if run[0].section else 86 if peak else min(86, max(t for s in sums for t in s) / 2)
+            high = [i for i, t in enumerate(total) if t > 0 and t >= limit]
+            if high and run[0].section:
+                expected += [x.text for x in run]
+            elif high:
+                near = range(high[0], min(len(run), high[-1] + 3))
+                heavy = [i for i in near if run[i].weight]
+                for i in range(heavy[0], heavy[-1] + 1):
+                    alone = run[i - 1].weight and run[i + 1].weight if heavy[0] < i < heavy[-1] else True
+                    if run[i].weight or alone:
+                        expected.append(run[i].text)
+        assert extract.between(found) == expected
+
+
+def test_op8_query(spark, tmp_path):
+    page = f"<body><nav>M</nav><h1>T</h1><p>{STORY[0]}</p>&eacute;</body>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, None, None, "x"), (None, "", "", "x"), (3, "v", f"<p>{'y z ' * 200_000}</p>", "x")]
+    schema = "page_id long, url string, html string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/pages.parquet")
+    text = f"T\n{STORY[0]}\né"
+    got = sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in extract.op8_extract(spark, str(tmp_path)).collect())
+    long = ("y z " * 200_000).strip()
+    assert got == sorted([("1", "u", text, len(text))] * 2 + [("2", None, "", 0), ("None", "", "", 0), ("3", "v", long, len(long))], key=str)
+    assert extract.extracted(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_extraction_goes_on_after_raw_elements_without_an_end():
     for tag in ("<svg/>", '<svg class="i" />', "<svg width=9 hidden/>", "<math />", "<canvas>", "<object data=/x/>", "<template>"):
         page = f"<main><p>one</p>{tag}<p>two</p><svg><text>no</text></svg><p>three</p></main>"
