@@ -641,19 +641,51 @@ def test_url_rules(spark):
             assert r.verdict == "allow"
 
 
-def test_url_model_holds_out():
+def url_parts(url):
+    host, _, path = url.split("://")[1].partition("/")
+    return host, "/" + path
+
+
+def test_url_model_on_hosts_never_seen():
+    table = urls.url_table()
+    site = lambda url: ".".join(url_parts(url)[0].split(".")[-2:])
+    sites = sorted({site(u) for u, _ in table})
+    random.Random(1).shuffle(sites)
+    fold = {x: i % 10 for i, x in enumerate(sites)}
+    right = collections.Counter()
+    for k in range(10):
+        weights = urls.train([r for r in table if fold[site(r[0])] != k])
+        for url, label in table:
+            if fold[site(url)] == k:
+                right[label] += (urls.score(weights, *([x] for x in url_parts(url)))[0] > 0) == bool(label)
+    assert sum(right.values()) >= 0.9 * len(table)
+    assert right[0] >= 0.95 * len(urls.ALLOWED) and right[1] >= 0.8 * len(urls.BLOCKED)
+    assert np.array_equal(weights, urls.train([r for r in table if fold[site(r[0])] != 9]))
+
+
+def test_ordinary_hosts_are_allowed():
+    ordinary = """https://github.com/ https://en.wikipedia.org/wiki/Cat https://docs.python.org/3/ https://www.nytimes.com/section/world
+        https://www.zeit.de/kultur https://www.winnipeg.ca/ https://www.windows.com/ http://a.b/c https://www.ft.com/markets
+        https://www.lego.com/en-us https://www.cern.ch/about https://www.harvard.edu/ https://www.bahn.de/reise https://www.sncf.com/fr
+        https://www.rae.es/diccionario https://www.apple.com/support https://www.cnn.com/travel https://news.ycombinator.com/item
+        https://www.ucl.ac.uk/study https://www.louvre.fr/en https://www.nps.gov/yell https://www.duolingo.com/learn""".split()
     table = urls.url_table()
-    rng = random.Random(0)
-    rng.shuffle(table)
-    cut = len(table) * 4 // 5
-    weights = urls.train(table[:cut])
-    right = 0
-    for url, label in table[cut:]:
-        rest = url.split("://")[1]
-        host, _, path = rest.partition("/")
-        right += (urls.score(weights, [host], ["/" + path])[0] > 0) == bool(label)
-    assert right / (len(table) - cut) >= 0.9
-    assert np.array_equal(weights, urls.train(table[:cut]))
+    seen = {url_parts(u)[0] for u, _ in table}
+    assert not seen & {url_parts(u)[0] for u in ordinary}
+    scores = urls.score(urls.train(table), *map(list, zip(*map(url_parts, ordinary))))
+    assert all(scores < 0), [u for u, x in zip(ordinary, scores) if x >= 0]
+
+
+def test_op9_query(spark, tmp_path):
+    long = "https://www.spiegel.de/" + "kultur/" * 100_000
+    rows = [(1, "http://www.pokercasino.com/casino/poker", "a", "b"), (1, "http://www.pokercasino.com/casino/poker", "a", "b"), (2, long, "a", "b"),
+            (3, "http://casino.example.org/x", "a", "b"), (None, None, "a", "b"), (4, "http://casino.com/de/1", "a", "b"), (5, "http:///casino", "a", "b")]
+    schema = "page_id long, url string, host string, verdict string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/pages.parquet")
+    got = collections.Counter((r.page_id, r.rule, r.verdict) for r in urls.op9_urls(spark, str(tmp_path)).collect())
+    assert got == {(1, None, "block"): 2, (2, None, "allow"): 1, (3, "org/", "allow"): 1, (None, None, "allow"): 1, (4, "com/de/", "block"): 1, (5, None, "allow"): 1}
+    weights = urls.train(urls.url_table())
+    assert urls.filtered(spark.createDataFrame([], schema), urls.RULES, weights).count() == 0
 
 
 # 10 quality
