@@ -21,18 +21,35 @@ ALNUM = bytes(
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one in local
+    mode, whose executors are the driver; an error on a cluster."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _local.get(context.applicationId)
+        if not folder:
+            folder = _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``clean`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes every path of ``scratch`` in this application; results that read one can't be read any more."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -14,8 +14,12 @@ sets link where ``100 * intersection >= percent * union``. The steps:
    must occur on T of the lists. DivideSkip: the L longest lists are put aside, the short ones are merged by a heap that
    skips ahead (T - L occurrences make a candidate), and candidates are looked up in the long ones by binary search.
    Candidates already known to be connected are not looked up again, so a group of copies costs about one check per set.
-4. A group of more than ``block_shingles`` is dealt into blocks and every pair of blocks is searched in a task of its
-   own; the links found are joined by components again.
+4. A group of more than ``block_shingles`` is dealt into blocks. Each block is searched inside and written once, as sorted
+   shingle hashes, to a file in the shared folder. Then a task for every pair of blocks reads its two files and searches
+   across, between sets that are not connected yet; the links found are joined by components again. So texts are
+   shuffled once, whatever the size of a group.
+
+The search finds a spanning set of links, which gives the components; it does not list every link.
 
 Nulls and texts without words have empty sets: n_shingles 0, linked with nothing, component their own doc_id. Rows with
 a null doc_id take no part in links and have a null component. Repeated rows link as equal sets do. An empty table gives
@@ -25,6 +29,7 @@ no rows. Columns beyond doc_id and text are ignored.
 from __future__ import annotations
 
 import heapq
+import io
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,11 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import files
 from tessera.llm.common import LOWER, blocks, delete, release, scratch
 from tessera.llm.components import components
 
 #: Ids that are broadcast at most (some 100 MB in memory); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Tasks for pairs of blocks at most; a task takes one pair after the other.
+MOST_TASKS = 20_000
 #: The ratio of the bounds of size classes.
 RATIO = 1.2
 U = np.uint64
@@ -163,8 +171,11 @@ class Scheme:
 PLACE = 0xFFFFFFFF
 
 
-def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[int]:
-    """The root of each set's component, as an index. ``side``: only pairs of unequal sides are looked up.
+def linked(
+    sets: list[np.ndarray], percent: int, side: list[int] | None = None, known: list[int] | None = None
+) -> list[int]:
+    """The root of each set's component, as an index. ``side``: only pairs of unequal sides are looked up; ``known``: sets
+    of one number are connected already.
 
     Sets are looked up in the order of their sizes among those before them. One likely partner is tried first; then
     places already connected to the set leave the short lists, which are merged by a heap."""
@@ -177,17 +188,25 @@ def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None)
     # the inverted lists, one after the other: shingle in the upper half, place in the order of sizes in the lower
     lists = np.sort(rank + np.repeat(np.arange(n), sizes))
     ends = np.cumsum(sizes)
-    label = np.arange(n)  # the component of each place
+    label = np.arange(n)  # the component of each place, by one of its places
+    if known:
+        _, first_place, of_known = np.unique([known[i] for i in by_size], return_index=True, return_inverse=True)
+        label = first_place[of_known]
+    parts = len(np.unique(label))
 
     def on(keys: np.ndarray) -> int:
         """How many of the keys are in the lists, by binary search."""
         return int((lists[np.minimum(np.searchsorted(lists, keys), len(lists) - 1)] == keys).sum())
 
     def unite(q: int, y: int, common: int) -> None:
+        nonlocal parts
         if 100 * common >= percent * (int(sizes[q]) + int(sizes[y]) - common):
             label[label == label[q]] = label[y]
+            parts -= 1
 
     for q in range(1, n):
+        if parts == 1:
+            break
         size = int(sizes[q])
         first = int(np.searchsorted(sizes, -(-percent * size // 100)))  # smaller partners cannot link
         if first >= q:
@@ -303,39 +322,73 @@ def candidate_edges(docs: DataFrame, percent: int, width: int = 4) -> DataFrame:
     return sorted_.mapInArrow(stars, "a long, b long").distinct()
 
 
-def _searched(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """(node, root) of the documents of each task; members (task, side, crossed, doc_id, h1, text)."""
+def _least_roots(docs: list[int], roots: list[int]) -> list[int]:
+    """The least doc_id of each one's component."""
+    least: dict[int, int] = {}
+    for d, r in zip(docs, roots, strict=True):
+        least[r] = min(d, least.get(r, d))
+    return [least[r] for r in roots]
+
+
+def _searched(members: DataFrame, percent: int, width: int, folder: str) -> DataFrame:
+    """Edges (a, b) found inside each task, and (component, side, path) of the files of blocks; members (task, component,
+    side, doc_id, h1, text), side -1 for a group in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, crossed = None, False
-        sets: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
+        task = component = side = None
+        sets: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            held = list(sets.values())
-            if len(held) > 1:
-                roots = linked([x for _, _, x in held], percent, [s for _, s, _ in held] if crossed else None)
-                least: dict[int, int] = {}
-                for (doc_id, _, _), r in zip(held, roots, strict=True):
-                    least[r] = min(doc_id, least.get(r, doc_id))
-                rows = [(d, least[r]) for (d, _, _), r in zip(held, roots, strict=True) if d != least[r]]
-                if rows:
-                    a, b = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["a", "b"])
+            docs = [d for d, _ in sets.values()]
+            least = _least_roots(docs, linked([x for _, x in sets.values()], percent)) if len(docs) > 1 else docs
+            rows = [(r, d, None, None, None) for d, r in zip(docs, least, strict=True) if d != r]
+            if docs and side >= 0:
+                path = files.attempt(folder, "block", ".npz")
+                system, inside = files.opened(path)
+                with system.open_output_stream(inside, compression=None) as sink:
+                    arrays = [x for _, x in sets.values()]
+                    np.savez(sink, docs=docs, least=least, sizes=[len(x) for x in arrays], sets=np.concatenate(arrays))
+                rows.append((None, None, component, side, path))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "component", "side", "path"])
 
         for batch, texts in blocks(batches, "text", 2 << 20):
-            columns = (batch.column(c).to_pylist() for c in ("task", "side", "crossed", "doc_id", "h1"))
-            for t, side, cross, doc_id, h1, x in zip(*columns, shingle_sets(texts, width), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("task", "component", "side", "doc_id", "h1"))
+            for t, c, s, doc_id, h1, x in zip(*columns, shingle_sets(texts, width), strict=True):
                 if t != task:
                     yield from flush()
-                    sets, task, crossed = {}, t, cross
+                    sets, task, component, side = {}, t, c, s
                 key = digest(x)
                 if key[0] == h1:  # else another text under the same doc_id
-                    sets.setdefault((*key, side), (doc_id, side, x))
+                    sets.setdefault(key, (doc_id, x))
         yield from flush()
 
-    return (
-        members.repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(run, "a long, b long")
-    )
+    dealt = members.repartition("task").sortWithinPartitions("task", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long, component long, side int, path string")
+
+
+def _crossed(pairs: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between the sets of two blocks, for every pair of their files (one, other)."""
+
+    def load(path: str) -> tuple[list[int], list[np.ndarray]]:
+        system, inside = files.opened(path)
+        with system.open_input_file(inside) as source, np.load(io.BytesIO(source.read())) as held:
+            return held["least"].tolist(), np.split(held["sets"], np.cumsum(held["sizes"])[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (known, sets), (more, rest) = load(one), load(other)
+                roots = linked(sets + rest, percent, [0] * len(sets) + [1] * len(rest), known + more)
+                least = _least_roots(known + more, roots)
+                found = sorted({(r, k) for k, r in zip(known + more, least, strict=True) if k != r})
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def link_components(
@@ -362,30 +415,30 @@ def link_components(
         "grouped",
     )
     release(spark)  # the parts' shuffle is the largest, and done
-    # groups above the limit are dealt into blocks; a task for each pair of blocks
+    # groups above the limit are dealt into blocks, a task for each
     large = table(
         grouped.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles), "large"
     )
-    dealt = grouped.join(large, "component", "left").withColumn(
-        "count", F.coalesce(F.ceil(2 * F.col("total") / block_shingles), F.lit(1)).cast("int")
-    )
-    side = F.pmod(F.xxhash64("h1", F.lit("side")), F.col("count")).cast("int")
-    dealt = dealt.withColumn("side", side)
-    low, high = F.least("side", "other"), F.greatest("side", "other")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select(
-        "doc_id",
-        "h1",
-        "side",
-        (F.col("side") != F.col("other")).alias("crossed"),
-        F.xxhash64("component", low, high).alias("task"),
+    count = F.ceil(2 * F.col("total") / block_shingles).cast("int")
+    side = F.coalesce(F.pmod(F.xxhash64("h1", F.lit("side")), count).cast("int"), F.lit(-1))
+    dealt = grouped.join(large, "component", "left").select(
+        "doc_id", "h1", "component", side.alias("side"), F.xxhash64("component", side).alias("task")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = table(_searched(dealt.join(texts, "doc_id"), percent, width), "links")
+    made.append(scratch(spark, "blocks"))
+    found = table(_searched(dealt.join(texts, "doc_id"), percent, width, made[-1]), "links")
     release(spark)  # and that of the texts
+    edges = found.where("path IS NULL").select("a", "b")
     if large.isEmpty():
-        roots = found.select(F.col("b").alias("rep"), F.col("a").alias("root"))
+        roots = edges.select(F.col("b").alias("rep"), F.col("a").alias("root"))
     else:
-        roots = table(components(found), "roots").select(F.col("node").alias("rep"), F.col("component").alias("root"))
+        block = found.where("path IS NOT NULL").select("component", "side", F.col("path").alias("one"))
+        after = block.select("component", F.col("side").alias("later"), F.col("one").alias("other"))
+        pairs = table(block.join(after, "component").where("side < later").select("one", "other"), "pairs")
+        # rows are tiny, so their number decides how many tasks there are, not their bytes
+        tasks = pairs.repartition(max(1, min(pairs.count(), MOST_TASKS)))
+        every = edges.unionByName(table(_crossed(tasks, percent), "crossed"))
+        roots = table(components(every), "roots").select(F.col("node").alias("rep"), F.col("component").alias("root"))
     named = classes.join(roots, "rep", "left").where("copies > 1 OR root IS NOT NULL")
     named = named.select("h1", "h2", F.coalesce("root", "rep").alias("component"))
     out = table(

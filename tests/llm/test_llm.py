@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import html
+import os
 import random
 import re
 import zlib
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import (
     chat,
+    common,
     components,
     decontaminate,
     extract,
@@ -274,6 +276,40 @@ def test_packing_balances_cost():
     pieces, count = packing.pack(sizes, 2048, 1 / 4096)
     assert count == -(-sum(sizes) // 2048)
     assert sum(n for _, _, n, _, _ in pieces) == sum(sizes)
+    # each whole rest went, by descending cost, to the sequence of lowest cost among those with room for it
+    rests = sorted(((-(n % 2048), k) for k, n in enumerate(sizes) if n % 2048))
+    first = min(p[3] for p in pieces if p[2] < 2048)
+    count = -(-sum(-n for n, _ in rests) // 2048)
+    used, cost = [0] * count, [0.0] * count
+    by_doc = collections.defaultdict(list)
+    for k, start, n, sequence, _ in pieces:
+        if sequence >= first:
+            by_doc[k].append((start, n, sequence - first))
+    for size, k in rests:
+        for start, n, s in sorted(by_doc[k]):
+            left = -size - (start - sizes[k] // 2048 * 2048)
+            fits = [i for i in range(count) if 2048 - used[i] >= left] or [i for i in range(count) if used[i] < 2048]
+            assert s == min(fits, key=lambda i: (cost[i], i)) and n == min(left, 2048 - used[s])
+            used[s] += n
+            cost[s] += n + n * n / 4096
+    # against the first sequence with room, in the same order, costs differ less
+    room, other = [2048] * count, [0.0] * count
+    for size, _ in rests:
+        left = -size
+        while left:
+            s = next((i for i in range(count) if room[i] >= left), None)
+            s = next(i for i in range(count) if room[i]) if s is None else s
+            n = min(left, room[s])
+            room[s], other[s], left = room[s] - n, other[s] + n + n * n / 4096, left - n
+    assert np.std(cost) < np.std(other)
+
+
+def test_packing_keeps_null_ids_repeats_and_clashes(spark, library):
+    rows = [(None, "a b"), (7, "x y z"), (7, "x y z"), (8, None)]
+    data = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, length string").repartition(1)
+    got = collections.Counter((r.doc_id, r.length, r.doc_tokens) for r in packing.packed(data, tokens.default_path()).collect())
+    size = lambda t: len(library.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    assert got == collections.Counter((d, size(t), size(t)) for d, t in rows)
 
 
 # 4 Jaccard join
@@ -359,6 +395,23 @@ def test_jaccard_search_is_brute_force():
         assert groups(roots) == groups([find(i) for i in range(len(sets))])
 
 
+def test_jaccard_search_across_blocks_is_brute_force():
+    rng = np.random.default_rng(4)
+    pool = jaccard.mixed(np.arange(1, 300, dtype=np.uint64))
+    for _ in range(40):
+        sets = [rng.choice(pool, rng.integers(1, 120), False)]
+        for _ in range(24):
+            base = sets[rng.integers(len(sets))] if rng.random() < 0.8 else rng.choice(pool, rng.integers(1, 120), False)
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], rng.choice(pool, rng.integers(1, 4))])))
+        sets[0] = np.sort(sets[0])
+        inside = [jaccard.linked(part, 85) for part in (sets[:12], sets[12:])]
+        known = inside[0] + [100 + r for r in inside[1]]
+        both = jaccard.linked(sets, 85, [0] * 12 + [1] * 13, known)
+        once = jaccard.linked(sets, 85)
+        groups = lambda r: sorted(sorted(i for i in range(25) if r[i] == k) for k in set(r))
+        assert groups(both) == groups(once)
+
+
 def test_every_linking_pair_shares_a_signature():
     rng = np.random.default_rng(9)
     scheme = jaccard.Scheme(85)
@@ -806,6 +859,39 @@ def test_quality_agrees_with_labels(spark):
     assert rejected >= 0.9 * sum(n for (q, _, _), n in count.items() if q == 0)
 
 
+# shared folder
+
+
+def test_scratch_is_cleaned_and_a_cluster_needs_a_folder(spark, monkeypatch):
+    import types
+
+    path = common.scratch(spark, "x").removeprefix("file:")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path)
+    common.delete(spark, "file:" + path)
+    assert not os.path.exists(path)
+    conf = types.SimpleNamespace(get=lambda key: None)
+    context = types.SimpleNamespace(master="spark://host:7077", applicationId="a", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        common.shared_dir(types.SimpleNamespace(sparkContext=context))
+
+
+def test_pipeline_handles_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    benchmark = "item_id long, text string"
+    spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(20)))], benchmark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, good), (1, good), (2, good + " end"), (3, None), (4, ""), (None, " ".join(f"other{k}" for k in range(30))), (5, " ".join(f"b{k}" for k in range(20)))]
+    schema = "doc_id long, text string, kept string, start string, _w string, h1 string, n_chars long"
+    spark.createDataFrame([(*r, "a", "b", "c", "d", 1) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == [1, None]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], benchmark).write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 # pipeline
 
 
