@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import written
+from tessera.llm.common import delete, scratch
 from tessera.llm.decontaminate import decontamination_stage
 from tessera.llm.jaccard import jaccard_stage
 from tessera.llm.packing import packing_stage
@@ -31,7 +31,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of all documents that the stages keep. Null, empty and repeated texts, null ids, empty tables and further
+    columns, whatever their names, are handled as the stages' modules say; a stage's table is removed when the next is
+    written, and the last one, which the result reads, by ``tessera.llm.common.clean``."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

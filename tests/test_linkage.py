@@ -6,6 +6,8 @@ import ast
 import math
 import os
 import random
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -301,3 +303,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["evaluate", "--links", str(tmp_path / "links"), "--s1", s[1], "--truth", str(truth)]) == 0
     assert "macro_f05" in capsys.readouterr().out
     assert main(["validate", "--lists", str(truth), "--s1", s[1]]) == 1
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "zstandard"])
+def test_entry_works_without_a_library_of_the_optional_part(missing):
+    code = f"import sys, warnings; sys.modules[{missing!r}] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); print(len(q), set(e.oracle_sql()) <= set(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(registry.QUERIES)), "True"], done.stderr
