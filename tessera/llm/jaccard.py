@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import files
-from tessera.llm.common import LOWER, blocks, delete, release, scratch
+from tessera.llm.common import LOWER, blocks, delete, release, scratch, small_batches
 from tessera.llm.components import components
 
 #: Ids that are broadcast at most (some 100 MB in memory); more are joined by a shuffle.
@@ -400,7 +400,8 @@ def link_components(
 
     def table(df: DataFrame, name: str) -> DataFrame:
         made.append(scratch(spark, name))
-        df.write.parquet(made[-1])
+        with small_batches(spark):
+            df.write.parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
 
     sets = table(set_table(docs, width), "sets")
@@ -409,7 +410,8 @@ def link_components(
         .groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     )
-    groups = components(candidate_edges(docs, percent, width))
+    with small_batches(spark):
+        groups = components(candidate_edges(docs, percent, width))
     grouped = table(
         classes.join(groups, F.col("h1") == F.col("node")).select(F.col("rep").alias("doc_id"), "h1", "n", "component"),
         "grouped",
