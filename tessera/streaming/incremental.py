@@ -6,7 +6,6 @@ table as they are. Records that come twice within the watermark are taken once."
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions import text as T
@@ -26,10 +25,11 @@ def candidates(stream: DataFrame, standing: DataFrame) -> DataFrame:
 
 
 def start(stream: DataFrame, standing: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes the distinct pairs of every batch as Parquet, until all that is there has been read."""
+    """Writes the distinct pairs of every batch as Parquet under ``batch=number``, until all that is there has been read. A
+    batch that is tried again replaces what its first try wrote."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.distinct().withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.distinct().write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     pairs = candidates(arriving(stream), T.normalized(standing))
     return pairs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
