@@ -395,23 +395,6 @@ def test_jaccard_search_is_brute_force():
         assert groups(roots) == groups([find(i) for i in range(len(sets))])
 
 
-def test_jaccard_search_across_blocks_is_brute_force():
-    rng = np.random.default_rng(4)
-    pool = jaccard.mixed(np.arange(1, 300, dtype=np.uint64))
-    for _ in range(40):
-        sets = [rng.choice(pool, rng.integers(1, 120), False)]
-        for _ in range(24):
-            base = sets[rng.integers(len(sets))] if rng.random() < 0.8 else rng.choice(pool, rng.integers(1, 120), False)
-            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], rng.choice(pool, rng.integers(1, 4))])))
-        sets[0] = np.sort(sets[0])
-        inside = [jaccard.linked(part, 85) for part in (sets[:12], sets[12:])]
-        known = inside[0] + [100 + r for r in inside[1]]
-        both = jaccard.linked(sets, 85, [0] * 12 + [1] * 13, known)
-        once = jaccard.linked(sets, 85)
-        groups = lambda r: sorted(sorted(i for i in range(25) if r[i] == k) for k in set(r))
-        assert groups(both) == groups(once)
-
-
 def test_every_linking_pair_shares_a_signature():
     rng = np.random.default_rng(9)
     scheme = jaccard.Scheme(85)
