@@ -15,17 +15,19 @@ sets link where ``100 * intersection >= percent * union``. The steps:
    skips ahead (T - L occurrences make a candidate), and candidates are looked up in the long ones by binary search.
    Candidates already known to be connected are not looked up again, so a group of copies costs about one check per set.
 4. A group of more than ``block_shingles`` is dealt into blocks and every pair of blocks is searched in a task of its
-   own; the links found are joined by components again. The search finds a spanning set of links, which gives the
-   components; it does not list every link.
+   own; the links found are joined by components again. For components the search finds a spanning set of links only;
+   ``links`` verifies every candidate and gives every link between classes, and ``link_counts`` each document's number.
 
 Nulls and texts without words have empty sets: n_shingles 0, linked with nothing, component their own doc_id. Rows with
 a null doc_id take no part in links and have a null component. Repeated rows link as equal sets do. An empty table gives
-no rows. Columns beyond doc_id and text are ignored.
+no rows. Columns beyond doc_id and text are ignored. The number of links counts rows: a row with a null doc_id or an empty
+set has none.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -164,11 +166,15 @@ class Scheme:
 PLACE = 0xFFFFFFFF
 
 
-def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[int]:
-    """The root of each set's component, as an index. ``side``: only pairs of unequal sides are looked up.
+def linked(
+    sets: list[np.ndarray], percent: int, side: list[int] | None = None, links: array | None = None
+) -> list[int]:
+    """The root of each set's component, as an index. ``side``: only pairs of unequal sides are looked up. ``links`` takes
+    the two indices and the intersection of every link, one after the other.
 
     Sets are looked up in the order of their sizes among those before them. One likely partner is tried first; then
-    places already connected to the set leave the short lists, which are merged by a heap."""
+    places already connected to the set leave the short lists, which are merged by a heap. Where every link is asked for,
+    neither is done."""
     n = len(sets)
     by_size = sorted(range(n), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in by_size], np.int64)
@@ -186,6 +192,8 @@ def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None)
 
     def unite(q: int, y: int, common: int) -> None:
         if 100 * common >= percent * (int(sizes[q]) + int(sizes[y]) - common):
+            if links is not None:
+                links.extend((by_size[q], by_size[y], common))
             label[label == label[q]] = label[y]
 
     for q in range(1, n):
@@ -204,12 +212,12 @@ def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None)
         aside = min(least - 1, int(least / (0.0085 * log(int(length[order[-1]])) + 1)))
         short, long = order[: len(order) - aside], own[order[len(order) - aside :]]
         need = least - aside
-        for y in {int(lists[high[short[0]] - 1]) & PLACE, q - 1}:
+        for y in {int(lists[high[short[0]] - 1]) & PLACE, q - 1} if links is None else ():
             if label[y] != label[q] and (sides is None or sides[y] != sides[q]):
                 unite(q, y, on(own + y))
         places = np.concatenate([lists[low[i] : high[i]] for i in short]) & PLACE
         of = np.repeat(np.arange(len(short)), length[short])
-        open_ = label[places] != label[q]
+        open_ = np.full(len(places), True) if links is not None else label[places] != label[q]
         if sides is not None:
             open_ &= sides[places] != sides[q]
         places, of = places[open_], of[open_]
@@ -225,7 +233,7 @@ def linked(sets: list[np.ndarray], percent: int, side: list[int] | None = None)
                 popped.append(heapq.heappop(heap)[1])
             target = y + 1
             if len(popped) >= need:
-                if label[q] != label[y]:
+                if links is not None or label[q] != label[y]:
                     unite(q, y, len(popped) + (on(long + y) if aside else 0))
             else:  # no candidate below the place where enough lists can meet
                 for _ in range(need - 1 - len(popped)):
@@ -304,104 +312,159 @@ def candidate_edges(docs: DataFrame, percent: int, width: int = 4) -> DataFrame:
     return sorted_.mapInArrow(stars, "a long, b long").distinct()
 
 
-def _searched(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """(node, root) of the documents of each task; members (task, side, crossed, doc_id, h1, text)."""
+LINKS = ["doc_a", "doc_b", "common", "total", "key_a", "key_b", "copies_a", "copies_b"]
+
+
+def _searched(members: DataFrame, percent: int, width: int, every: bool = False) -> DataFrame:
+    """(a, b) from documents to roots in each task, or ``every`` link as LINKS; members (task, side, crossed, doc_id, h1,
+    copies, text)."""
+
+    def edges(held: list[tuple], roots: list[int]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
+        for (doc_id, *_), r in zip(held, roots, strict=True):
+            least[r] = min(doc_id, least.get(r, doc_id))
+        rows = [(d, least[r]) for (d, *_), r in zip(held, roots, strict=True) if d != least[r]]
+        if rows:
+            a, b = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["a", "b"])
+
+    def pairs(held: list[tuple], links: array) -> Iterator[pa.RecordBatch]:
+        found = np.frombuffer(links, np.int64).reshape(-1, 3)
+        doc, key, copies = (np.array([h[k] for h in held], np.int64) for k in (0, 3, 4))
+        n = np.array([len(h[2]) for h in held], np.int64)
+        for at in range(0, len(found), 1 << 16):
+            x, y, common = found[at : at + (1 << 16)].T
+            swap = (doc[x] > doc[y]) | ((doc[x] == doc[y]) & (key[x] > key[y]))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            columns = [doc[x], doc[y], common, n[x] + n[y] - common, key[x], key[y], copies[x], copies[y]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], LINKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, crossed = None, False
-        sets: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
+        sets: dict[tuple[int, int, int], tuple] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             held = list(sets.values())
             if len(held) > 1:
-                roots = linked([x for _, _, x in held], percent, [s for _, s, _ in held] if crossed else None)
-                least: dict[int, int] = {}
-                for (doc_id, _, _), r in zip(held, roots, strict=True):
-                    least[r] = min(doc_id, least.get(r, doc_id))
-                rows = [(d, least[r]) for (d, _, _), r in zip(held, roots, strict=True) if d != least[r]]
-                if rows:
-                    a, b = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["a", "b"])
+                links = array("q") if every else None
+                roots = linked([h[2] for h in held], percent, [h[1] for h in held] if crossed else None, links)
+                yield from edges(held, roots) if links is None else pairs(held, links)
 
         for batch, texts in blocks(batches, "text", 2 << 20):
-            columns = (batch.column(c).to_pylist() for c in ("task", "side", "crossed", "doc_id", "h1"))
-            for t, side, cross, doc_id, h1, x in zip(*columns, shingle_sets(texts, width), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("task", "side", "crossed", "doc_id", "h1", "copies"))
+            for t, side, cross, doc_id, h1, copies, x in zip(*columns, shingle_sets(texts, width), strict=True):
                 if t != task:
                     yield from flush()
                     sets, task, crossed = {}, t, cross
                 key = digest(x)
                 if key[0] == h1:  # else another text under the same doc_id
-                    sets.setdefault((*key, side), (doc_id, side, x))
+                    sets.setdefault((*key, side), (doc_id, side, x, h1, copies))
         yield from flush()
 
-    return (
-        members.repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(run, "a long, b long")
-    )
+    schema = ", ".join(f"{c} long" for c in (LINKS if every else ["a", "b"]))
+    return members.repartition("task").sortWithinPartitions("task", "side", "doc_id").mapInArrow(run, schema)
+
+
+class _Join:
+    """The tables of one join: sets, classes of equal sets, groups above the limit, links."""
+
+    def __init__(self, docs: DataFrame, percent: int, width: int, block_shingles: int, every: bool):
+        self.spark, self.made = docs.sparkSession, []
+        self.sets = self.table(set_table(docs, width), "sets")
+        self.classes = (
+            self.sets.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
+            .groupBy("h1", "h2")
+            .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+        )
+        with small_batches(self.spark):
+            groups = components(candidate_edges(docs, percent, width))
+        grouped = self.table(
+            self.classes.join(groups, F.col("h1") == F.col("node")).select(
+                F.col("rep").alias("doc_id"), "h1", "n", "copies", "component"
+            ),
+            "grouped",
+        )
+        release(self.spark)  # the parts' shuffle is the largest, and done
+        # groups above the limit are dealt into blocks; a task for each pair of blocks
+        self.large = self.table(
+            grouped.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles), "large"
+        )
+        dealt = grouped.join(self.large, "component", "left").withColumn(
+            "count", F.coalesce(F.ceil(2 * F.col("total") / block_shingles), F.lit(1)).cast("int")
+        )
+        side = F.pmod(F.xxhash64("h1", F.lit("side")), F.col("count")).cast("int")
+        dealt = dealt.withColumn("side", side)
+        low, high = F.least("side", "other"), F.greatest("side", "other")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select(
+            "doc_id",
+            "h1",
+            "copies",
+            "side",
+            (F.col("side") != F.col("other")).alias("crossed"),
+            F.xxhash64("component", low, high).alias("task"),
+        )
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.found = self.table(_searched(dealt.join(texts, "doc_id"), percent, width, every), "links")
+        release(self.spark)  # and that of the texts
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(scratch(self.spark, name))
+        with small_batches(self.spark):
+            df.write.parquet(self.made[-1])
+        return self.spark.read.schema(df.schema).parquet(self.made[-1])
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """The table written, and all the others removed."""
+        out = self.table(df, name)
+        for path in self.made[:-1]:
+            delete(self.spark, path)
+        return out
 
 
 def link_components(
     docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 18
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
-    made: list[str] = []
-
-    def table(df: DataFrame, name: str) -> DataFrame:
-        made.append(scratch(spark, name))
-        with small_batches(spark):
-            df.write.parquet(made[-1])
-        return spark.read.schema(df.schema).parquet(made[-1])
-
-    sets = table(set_table(docs, width), "sets")
-    classes = (
-        sets.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-    )
-    with small_batches(spark):
-        groups = components(candidate_edges(docs, percent, width))
-    grouped = table(
-        classes.join(groups, F.col("h1") == F.col("node")).select(F.col("rep").alias("doc_id"), "h1", "n", "component"),
-        "grouped",
-    )
-    release(spark)  # the parts' shuffle is the largest, and done
-    # groups above the limit are dealt into blocks; a task for each pair of blocks
-    large = table(
-        grouped.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles), "large"
-    )
-    dealt = grouped.join(large, "component", "left").withColumn(
-        "count", F.coalesce(F.ceil(2 * F.col("total") / block_shingles), F.lit(1)).cast("int")
-    )
-    side = F.pmod(F.xxhash64("h1", F.lit("side")), F.col("count")).cast("int")
-    dealt = dealt.withColumn("side", side)
-    low, high = F.least("side", "other"), F.greatest("side", "other")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select(
-        "doc_id",
-        "h1",
-        "side",
-        (F.col("side") != F.col("other")).alias("crossed"),
-        F.xxhash64("component", low, high).alias("task"),
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = table(_searched(dealt.join(texts, "doc_id"), percent, width), "links")
-    release(spark)  # and that of the texts
-    if large.isEmpty():
-        roots = found.select(F.col("b").alias("rep"), F.col("a").alias("root"))
+    join = _Join(docs, percent, width, block_shingles, every=False)
+    if join.large.isEmpty():
+        roots = join.found.select(F.col("b").alias("rep"), F.col("a").alias("root"))
     else:
-        roots = table(components(found), "roots").select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    named = classes.join(roots, "rep", "left").where("copies > 1 OR root IS NOT NULL")
+        roots = join.table(components(join.found), "roots")
+        roots = roots.select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    named = join.classes.join(roots, "rep", "left").where("copies > 1 OR root IS NOT NULL")
     named = named.select("h1", "h2", F.coalesce("root", "rep").alias("component"))
-    out = table(
-        sets.join(named, ["h1", "h2"], "left").select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        ),
-        "components",
+    out = join.sets.join(named, ["h1", "h2"], "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
-    for path in made[:-1]:
-        delete(spark, path)
-    return out
+    return join.result(out, "components")
+
+
+def links(docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 18) -> DataFrame:
+    """Every link between two classes of equal sets, once: doc_a and doc_b (the least ids of the classes), common and total
+    (sizes of intersection and union), key_a and key_b (the classes' digests), copies_a and copies_b. Documents of one
+    class, which ``link_counts`` names, are linked too and not listed."""
+    join = _Join(docs, percent, width, block_shingles, every=True)
+    return join.result(join.found, "pairs")
+
+
+def link_counts(docs: DataFrame, percent: int = 85, width: int = 4, block_shingles: int = 1 << 18) -> DataFrame:
+    """doc_id, n_shingles, class_id (the least id with an equal set) and n_links (the documents linked with this one, those
+    of its own class among them) of every document."""
+    join = _Join(docs, percent, width, block_shingles, every=True)
+    ends = [join.found.select(F.col(f"key_{x}").alias("h1"), F.col(f"copies_{y}").alias("n")) for x, y in ("ab", "ba")]
+    far = ends[0].unionByName(ends[1]).groupBy("h1").agg(F.sum("n").alias("far"))
+    named = join.classes.join(far, "h1", "left").where("copies > 1 OR far IS NOT NULL")
+    named = named.select("h1", "h2", "rep", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("linked"))
+    own = F.col("doc_id").isNotNull()
+    out = join.sets.join(named, ["h1", "h2"], "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(own, F.coalesce("rep", "doc_id")).alias("class_id"),
+        F.when(own, F.coalesce("linked", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+    )
+    return join.result(out, "counts")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

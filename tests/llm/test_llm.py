@@ -395,6 +395,52 @@ def test_jaccard_search_is_brute_force():
         assert groups(roots) == groups([find(i) for i in range(len(sets))])
 
 
+def brute_links(rows):
+    """Links between classes of equal sets as (least ids, intersection, union), and (doc_id, class id, links) of each row."""
+    sets = brute_sets([t for _, t in rows])
+    least, size = {}, collections.Counter()
+    for (d, _), s in zip(rows, sets, strict=True):
+        if s and d is not None:
+            key = frozenset(s)
+            least[key] = min(d, least.get(key, d))
+            size[key] += 1
+    classes = sorted(least, key=least.get)
+    found, far = [], collections.Counter()
+    for i, a in enumerate(classes):
+        for b in classes[i + 1 :]:
+            if 100 * len(a & b) >= 85 * len(a | b):
+                found.append((least[a], least[b], len(a & b), len(a | b)))
+                far[a] += size[b]
+                far[b] += size[a]
+    each = []
+    for (d, _), s in zip(rows, sets, strict=True):
+        key = frozenset(s)
+        n = size[key] - 1 + far[key] if s and d is not None else 0
+        each.append((-1 if d is None else d, len(s), None if d is None else least[key] if s else d, n))
+    return sorted(found), sorted(each)
+
+
+@pytest.mark.parametrize("block", [1 << 22, 400])
+def test_jaccard_links(spark, texts, block):
+    rng = random.Random(13)
+    rows = list(enumerate(texts))
+    for size in (8, 25, 60, 120, 400):
+        base = words_of(rng, size, 3000)
+        for _ in range(40):
+            rows.append((len(rows), near(rng, base, rng.randrange(0, max(2, size // 30)))))
+    rows += [(len(rows), rows[-1][1]), (3, texts[3]), (None, rows[-1][1])]
+    rng.shuffle(rows)
+    data = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, key_a int, copies int, n int")
+    pairs, each = brute_links(rows)
+    assert len(pairs) > 100
+    got = jaccard.links(data.repartition(3), block_shingles=block)
+    assert sorted(tuple(r[:4]) for r in got.collect()) == pairs
+    got = jaccard.link_counts(data.repartition(3), block_shingles=block)
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got.collect()) == each
+    assert jaccard.links(data.limit(0)).count() == 0
+    assert jaccard.link_counts(data.limit(0)).count() == 0
+
+
 def test_every_linking_pair_shares_a_signature():
     rng = np.random.default_rng(9)
     scheme = jaccard.Scheme(85)
