@@ -26,7 +26,9 @@ def _parser() -> argparse.ArgumentParser:
     command("block", "candidate pairs, and their diagnostics as JSON", "s1", "sx", "out")
     command("retrieve", "the k best targets by TF-IDF", "s1", "sx", "out").add_argument("--k", type=int, default=20)
     command("match", "links of two targets", "s1", "s2", "s3", "out")
-    command("export", "the result list as tab-separated text", "links", "s1", "out")
+    command("export", "the result list as tab-separated text, sorted", "links", "s1", "out").add_argument(
+        "--one-file", action="store_true", help="a single file, written by one task"
+    )
     check = command("validate", "faults of a result list; exit code 1 if there are any", "lists", "s1")
     check.add_argument("--known", help="normalized records of the targets")
     check.add_argument("--column", default="matched_entity_ids")
@@ -40,6 +42,7 @@ def main(arguments: list[str] | None = None) -> int:
     read = spark.read.parquet
     if a.command == "ingest":
         pipeline.ingest(spark, a.records, a.out)
+        print(f"{files.rows_in(spark, a.out)} rows")
     elif a.command == "block":
         pairs, report = pipeline.block(read(a.s1), read(a.sx))
         files.write_parquet(pairs, f"{a.out}/pairs")
@@ -48,10 +51,19 @@ def main(arguments: list[str] | None = None) -> int:
         files.write_parquet(retrieval.top_k(read(a.s1), read(a.sx), a.k), a.out)
     elif a.command == "match":
         files.write_parquet(pipeline.match(read(a.s1), {"S2": read(a.s2), "S3": read(a.s3)}), a.out)
+        print(f"{files.rows_in(spark, a.out)} links")
     elif a.command == "export":
-        files.write_tsv(pipeline.export_run(read(a.links), read(a.s1)), a.out)
+        lists = pipeline.export_run(read(a.links), read(a.s1))
+        files.write_tsv(lists, a.out, a.one_file, order=["source1_entity_id"])
+        print(f"{files.rows_in(spark, a.out, files.TRUTH)} rows")
     elif a.command == "validate":
-        lists = files.read_tsv(spark, a.lists, ["source1_entity_id", a.column])
+        columns = ["source1_entity_id", a.column]
+        faults = files.text_faults(spark, a.lists, columns).collect()
+        for rule, findings in faults:
+            print(f"{rule}\t{findings}")
+        if any(findings for _, findings in faults):
+            return 1
+        lists = files.read_tsv(spark, a.lists, columns)
         found = export.validate(lists, read(a.s1), a.column, read(a.known) if a.known else None).collect()
         for rule, findings in found:
             print(f"{rule}\t{findings}")

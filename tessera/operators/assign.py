@@ -63,3 +63,19 @@ def keep_best(frames: list[DataFrame], score: str = "score") -> DataFrame:
         rows = tagged if rows is None else rows.unionByName(tagged, allowMissingColumns=True)
     place = F.row_number().over(Window.partitionBy("s1_id", "sx_id").orderBy(F.desc(score), "_k"))
     return rows.withColumn("_p", place).where("_p = 1").drop("_p", "_k")
+
+
+def delta_faults(before: DataFrame, delta: DataFrame, after: DataFrame) -> DataFrame:
+    """(rule, findings) of an applied delta: rows more or fewer than before, filled lists that changed, lists of the delta
+    for records that are not there, and empty lists whose delta did not arrive."""
+    key, ids = "source1_entity_id", "matched_entity_ids"
+    sides = [d.select(key, F.coalesce(ids, F.lit("")).alias(n)) for d, n in ((before, "_b"), (delta, "_d"), (after, "_a"))]
+    one = sides[0].join(sides[1], key, "full").join(sides[2], key, "full")
+    counts = {
+        "rows": F.abs(F.count("_b") - F.count("_a")),
+        "overwritten": F.count(F.when((F.col("_b") != "") & ~F.col("_a").eqNullSafe(F.col("_b")), 1)),
+        "unknown_record": F.count(F.when(F.col("_d").isNotNull() & F.col("_b").isNull(), 1)),
+        "not_applied": F.count(F.when((F.col("_b") == "") & ~F.col("_a").eqNullSafe(F.coalesce("_d", F.lit(""))), 1)),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("rule"), v.cast("long").alias("findings")) for k, v in counts.items()])
+    return one.agg(rows.alias("x")).select(F.explode("x").alias("x")).select("x.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,41 @@ def candidate_recall(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def retrieval_report(baseline: DataFrame, retrieved: DataFrame, gold: DataFrame) -> DataFrame:
+    """For the baseline, the retrieval and their union: candidates, gold pairs among them and their share of all; for the
+    last two also the gold pairs that the baseline lacks, and new candidates for each of them (null where there is none)."""
+    marked = [d.select(*PAIR).distinct().withColumn(n, F.lit(1)) for d, n in ((baseline, "b"), (retrieved, "r"), (gold, "g"))]
+    one = marked[0].join(marked[1], PAIR, "full").join(marked[2], PAIR, "full")
+    b, r, g = (F.col(c).isNotNull() for c in "brg")
+    counted = one.agg(
+        F.count(F.when(g, 1)).alias("total"),
+        F.count(F.when(r & ~b, 1)).alias("new"),
+        F.count(F.when(r & ~b & g, 1)).alias("recovered"),
+        *[F.count(F.when(x, 1)).alias(f"n_{k}") for k, x in enumerate((b, r, b | r))],
+        *[F.count(F.when(x & g, 1)).alias(f"g_{k}") for k, x in enumerate((b, r, b | r))],
+    )
+    each = [
+        F.struct(
+            F.lit(name).alias("candidates_of"),
+            F.col(f"n_{k}").alias("candidates"),
+            F.col(f"g_{k}").alias("gold_covered"),
+            F.round(F.col(f"g_{k}") / F.greatest("total", F.lit(1)), 6).alias("recall"),
+            (F.col("recovered") if k else F.lit(0).cast("long")).alias("recovered"),
+            (F.when(F.col("recovered") > 0, F.round(F.col("new") / F.col("recovered"), 6)) if k else F.lit(None).cast("double")).alias(
+                "candidates_per_recovered"
+            ),
+        )
+        for k, name in enumerate(("baseline", "retrieval", "union"))
+    ]
+    return counted.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+def compare(systems: dict[str, DataFrame], gold: DataFrame, universe: DataFrame) -> DataFrame:
+    """The metric of several systems' links over the same records, a row for each."""
+    rows = [macro_f(links, gold, universe).withColumn("system", F.lit(name)) for name, links in systems.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def secondary_recall(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     """Of gold pairs of records with more than one, how many are candidates."""
     window = Window.partitionBy("s1_id")

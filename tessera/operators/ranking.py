@@ -96,3 +96,9 @@ def hard_negatives(pairs: DataFrame, score: str = "score", label: str = "label",
     """All true pairs and the best false ones of each record."""
     place = F.row_number().over(Window.partitionBy("s1_id", label).orderBy(F.desc(score), "sx_id"))
     return pairs.withColumn("_p", place).where((F.col(label) == 1) | (F.col("_p") <= most)).drop("_p")
+
+
+def shuffled(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+    """The rows in a random order that the keys and the seed fix, by ``shuffle_key``; a range sort, so no task holds all."""
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *keys))
+    return df.withColumn("shuffle_key", key).orderBy("shuffle_key", *keys)

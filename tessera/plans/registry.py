@@ -738,13 +738,70 @@ def _(spark, sf):
     return export.export_lists(s1, [blocking.block_union(s1, sx) for sx in (s2, s3)], "candidate_entity_ids")
 
 
-@query("match_run")
-def _(spark, sf):
-    """All targets at once, with thresholds, exclusivity and recovery; its parts have oracles of their own."""
+@query("match_run", f"""WITH {EXPORTED_BOTH}, m AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, sx_id) AS p FROM scored),
+n AS (SELECT *, coalesce(max(CASE WHEN p = 2 THEN score END) OVER (PARTITION BY s1_id), 0) AS second FROM m),
+again AS (SELECT s1_id, sx_id, score FROM n WHERE p = 1 AND score >= 0.85 AND score - second >= 0.15
+  AND s1_id NOT IN (SELECT s1_id FROM links) AND sx_id NOT IN (SELECT sx_id FROM links)
+  QUALIFY row_number() OVER (PARTITION BY sx_id ORDER BY score DESC, s1_id) = 1)
+SELECT s1_id, sx_id, score FROM links UNION ALL SELECT * FROM again""")
+def _(spark, sf):
+    """All targets at once, with thresholds, exclusivity and recovery."""
     s1, s2, s3 = _sources(fixtures.rec_part, spark, sf)
     return pipeline.match(s1, {"S2": s2, "S3": s3})
 
 
+_MACRO = ORACLES["macro_f05"].split("SELECT round(avg(f), 5)", 1)[1]
+
+
+@query("system_comparison", f"""WITH {LINKS}, best AS (SELECT * FROM scored WHERE score >= 0.47 QUALIFY row_number() OVER (PARTITION BY sx_id ORDER BY score DESC, s1_id) = 1)
+SELECT 'all' AS system, round(avg(f), 5){_MACRO.replace('FROM links l', 'FROM (SELECT * FROM scored WHERE score >= 0.47) l')}
+UNION ALL SELECT 'exclusive', round(avg(f), 5){_MACRO.replace('FROM links l', 'FROM best l')}""")
+def _(spark, sf):
+    above = assign.above(_scored(spark, sf).select("s1_id", "sx_id", "score"), 0.47)
+    return metrics.compare({"all": above, "exclusive": assign.exclusive(above)}, *_gold(spark, sf))
+
+
+@query("retrieval_report", f"""WITH {GOLD}, b AS (SELECT DISTINCT *, 1 AS b FROM ({PASS_SQL['street']})), r AS (SELECT DISTINCT *, 1 AS r FROM ({PASS_SQL['exact_name']})),
+o AS (SELECT b, r, g FROM b FULL JOIN r USING (s1_id, sx_id) FULL JOIN (SELECT DISTINCT *, 1 AS g FROM gold) USING (s1_id, sx_id)),
+c AS (SELECT count(g) AS total, count(*) FILTER (r = 1 AND b IS NULL) AS new, count(*) FILTER (r = 1 AND b IS NULL AND g = 1) AS rec FROM o),
+e AS (SELECT 'baseline' AS k, count(*) AS n, count(g) AS h FROM o WHERE b = 1 UNION ALL SELECT 'retrieval', count(*), count(g) FROM o WHERE r = 1
+  UNION ALL SELECT 'union', count(*), count(g) FROM o WHERE b = 1 OR r = 1)
+SELECT k AS candidates_of, n AS candidates, h AS gold_covered, round(h / greatest(total, 1), 6) AS recall,
+  CASE k WHEN 'baseline' THEN 0 ELSE rec END AS recovered, CASE WHEN k <> 'baseline' AND rec > 0 THEN round(new / rec, 6) END AS candidates_per_recovered FROM e, c""")
+def _(spark, sf):
+    s1, s2, _ = _sources(fixtures.rec_part, spark, sf)
+    return metrics.retrieval_report(blocking.street(s1, s2), blocking.exact_name(s1, s2), _gold(spark, sf)[0])
+
+
+@query("delta_faults", f"""WITH {EXPORTED}, d AS (SELECT source1_entity_id AS k, 'S2-new' AS d FROM exported WHERE source1_entity_id LIKE '%5' UNION ALL SELECT 'S9-1', 'S2-0'),
+a AS (SELECT source1_entity_id AS k, CASE WHEN source1_entity_id LIKE '%7' THEN '' ELSE matched_entity_ids END AS a FROM exported WHERE source1_entity_id NOT LIKE '%9'),
+o AS (SELECT * FROM (SELECT source1_entity_id AS k, matched_entity_ids AS b FROM exported) FULL JOIN d USING (k) FULL JOIN a USING (k))
+SELECT 'rows' AS rule, abs(count(b) - count(a)) AS findings FROM o UNION ALL SELECT 'overwritten', count(*) FROM o WHERE b <> '' AND a IS DISTINCT FROM b
+UNION ALL SELECT 'unknown_record', count(*) FROM o WHERE d IS NOT NULL AND b IS NULL UNION ALL SELECT 'not_applied', count(*) FROM o WHERE b = '' AND a IS DISTINCT FROM coalesce(d, '')""")
+def _(spark, sf):
+    """A delta applied wrongly on purpose: rows lost, lists emptied, a record that is not there."""
+    out, key = _exported(spark, sf), F.col("source1_entity_id")
+    delta = out.where(key.endswith("5")).select(key, F.lit("S2-new").alias("matched_entity_ids"))
+    odd = spark.range(1).select(F.lit("S9-1").alias("source1_entity_id"), F.lit("S2-0").alias("matched_entity_ids"))
+    ids = F.when(key.endswith("7"), F.lit("")).otherwise(F.col("matched_entity_ids"))
+    after = out.where(~key.endswith("9")).select(key, ids.alias("matched_entity_ids"))
+    return assign.delta_faults(out, delta.unionByName(odd), after)
+
+
+@query("shuffled_pairs", f"WITH {LINKS} SELECT s1_id, sx_id, md5('42|' || s1_id || '|' || sx_id) AS shuffle_key FROM links")
+def _(spark, sf):
+    return ranking.shuffled(_links(spark, sf).select("s1_id", "sx_id"), ["s1_id", "sx_id"])
+
+
+@query("translit_mining_part", ORACLES["translit_mining"].replace(edges_sql(REC), edges_sql(PART)).replace("lower(s2.raw_name)", "lower(translate(s2.raw_name, 'ae', 'áé'))"))
+def _(spark, sf):
+    """Target names with letters outside ASCII, so that words are found."""
+    edges, s1, s2 = _edges(spark, sf, fixtures.rec_part)
+    named = edges.join(s1.select(F.col("entity_id").alias("s1_id"), F.col("name_clean").alias("s1_name")), "s1_id")
+    raw = F.translate("raw_name", "ae", "áé").alias("sx_name")
+    return retrieval.transliterations(named.join(s2.select(F.col("entity_id").alias("sx_id"), raw), "sx_id"))
+
+
 # models
 
 MODEL_COLUMNS = list(FEATURE_SQL)

@@ -37,9 +37,15 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return df.select("source1_entity_id", F.coalesce("matched_entity_ids", F.lit("")).alias("matched_entity_ids"))
 
 
-def write_tsv(df: DataFrame, path: str, one_file: bool = True, crlf: bool = False) -> None:
-    """Tab-separated text without quotes; empty strings stay empty. One file only where its reader asks for that."""
-    out = df.coalesce(1) if one_file else df
+def write_tsv(
+    df: DataFrame, path: str, one_file: bool = True, crlf: bool = False, order: list[str] | None = None
+) -> None:
+    """Tab-separated text without quotes; empty strings stay empty. One file only where its reader asks for that; with
+    ``order`` the files, taken by their names, are sorted: by ranges, or within the one file."""
+    if order:
+        out = df.repartition(1).sortWithinPartitions(*order) if one_file else df.orderBy(*order)
+    else:
+        out = df.coalesce(1) if one_file else df
     writer = out.write.options(sep="\t", header=True, quote="", emptyValue="", nullValue="")
     (writer.option("lineSep", "\r\n") if crlf else writer).csv(path)
 
@@ -54,6 +60,35 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return require(df, columns).select(*columns) if columns else df
 
 
+def rows_in(spark: SparkSession, path: str, columns: list[str] | None = None) -> int:
+    """Rows of a table just written: of Parquet from its footers, of tab-separated text where its columns are given."""
+    return (read_tsv(spark, path, columns, quoted=False) if columns else spark.read.parquet(path)).count()
+
+
+TEXT_RULES = ["separator", "header", "malformed_row"]
+
+
+def text_faults(spark: SparkSession, path: str, columns: list[str] = TRUTH) -> DataFrame:
+    """(rule, findings) of a list as text, before it is read as a table: commas for tabs in the header, a header other than
+    ``columns``, rows without a tab. Blank rows count for nothing."""
+    lines = spark.read.text(path)
+    first = lines.first()
+    head = first.value if first else ""
+    commas = "\t" not in head and "," in head
+    names = [c.strip().lower() for c in head.split("\t")]
+    bare = (F.trim("value") != "") & ~F.col("value").contains("\t") & (F.col("value") != F.lit(head))
+    found = lines.agg(F.count(F.when(bare, 1)).alias("n")).select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("separator").alias("rule"), F.lit(int(commas)).cast("long").alias("findings")),
+                F.struct(F.lit("header").alias("rule"), F.lit(int(names != columns)).cast("long").alias("findings")),
+                F.struct(F.lit("malformed_row").alias("rule"), F.col("n").alias("findings")),
+            )
+        ).alias("x")
+    )
+    return found.select("x.*")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

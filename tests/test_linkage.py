@@ -218,6 +218,53 @@ def test_files(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "j"), ["source1_entity_id"]).count() == 2
 
 
+def test_text_faults_order_and_counts(spark, tmp_path):
+    faults = lambda p: {r.rule: r.findings for r in files.text_faults(spark, str(p)).collect()}
+    good, commas, odd = (tmp_path / n for n in ("good", "commas", "odd"))
+    good.write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-2\n\nS1-2\t\n")
+    commas.write_text("source1_entity_id,matched_entity_ids\nS1-1,S2-1\n")
+    odd.write_text("id\tmatched_entity_ids\nS1-1 S2-1\nS1-2\t\nS1-3\n")
+    assert faults(good) == {"separator": 0, "header": 0, "malformed_row": 0}
+    assert faults(commas) == {"separator": 1, "header": 1, "malformed_row": 1}
+    assert faults(odd) == {"separator": 0, "header": 1, "malformed_row": 2}
+    lists = spark.range(500).select(F.concat(F.lit("S1-"), 1000 + (F.col("id") * 7) % 500).alias("source1_entity_id"), F.lit("").alias("matched_entity_ids"))
+    for name, one in (("one", True), ("many", False)):
+        files.write_tsv(lists.repartition(3), str(tmp_path / name), one, order=["source1_entity_id"])
+        parts = sorted((tmp_path / name).glob("part-*"))
+        written = [x.split("\t")[0] for p in parts for x in p.read_text().split("\n")[1:-1]]
+        assert written == [f"S1-{k}" for k in range(1000, 1500)] and (len(parts) == 1 or not one)
+        assert files.rows_in(spark, str(tmp_path / name), files.TRUTH) == 500
+
+
+def test_shuffled(spark):
+    rows = frame(spark, [(f"S1-{k}", "x") for k in range(60)], "s1_id string, sx_id string")
+    got = [r.s1_id for r in ranking.shuffled(rows.repartition(5), ["s1_id", "sx_id"]).collect()]
+    assert got == [r.s1_id for r in ranking.shuffled(rows, ["s1_id", "sx_id"]).collect()] != [f"S1-{k}" for k in range(60)]
+    assert got != [r.s1_id for r in ranking.shuffled(rows, ["s1_id", "sx_id"], 7).collect()]
+
+
+def test_model_is_saved_loaded_and_applied(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    s1, s2, _ = fixtures.sources(fixtures.rec_part(spark, sf))
+    edges = blocking.street(s1, s2).unionByName(blocking.exact_name(s1, s2)).distinct()
+    gold, universe = registry._gold(spark, sf)
+    pairs = metrics.labelled(features.native_features(features.attach_text(edges, s1, s2)), gold)
+    pairs = pairs.withColumns({"tfidf_score": F.lit(0.0), "held": T.bucket(F.col("s1_id"), "v", 4) == 0}).cache()
+    columns = [*registry.MODEL_COLUMNS, "tfidf_score"]
+    model = models.train(pairs, columns, rounds=12, depth=3, validation="held")
+    assert 1 <= model.getNumTrees <= 12
+    models.save(model, str(tmp_path / "m"))
+    new = pairs.where("held").drop("tfidf_score")
+    scored = models.rescore(models.load(str(tmp_path / "m")), new, columns, "score").cache()
+    own = {(r.s1_id, r.sx_id): r.score for r in models.predict(model, pairs.where("held"), columns, "score").collect()}
+    assert own == {(r.s1_id, r.sx_id): r.score for r in scored.collect()} and own
+    held = universe.where(T.bucket(F.col("s1_id"), "v", 4) == 0)
+    inside = gold.join(held, "s1_id", "left_semi")
+    best = models.choose_threshold(scored, inside, held, "score")
+    metric = lambda t: metrics.macro_f(assign.above(scored, t), inside, held).first().macro_f05
+    assert metric(best) >= max(metric(0.05), metric(0.5), metric(0.95))
+
+
 def test_transliterations(spark):
     pairs = frame(spark, [("abc private", "xyz प्रा"), ("def private", "q प्रा"), ("one two", "ज x"), ("a", "b c")], "s1_name string, sx_name string")
     assert [tuple(r) for r in retrieval.transliterations(pairs).collect()] == [("प्रा", "private")]
