@@ -14,7 +14,10 @@ sets link where ``100 * intersection >= percent * union``. The steps:
    must occur on T of the lists. DivideSkip: the L longest lists are put aside, the short ones are merged by a heap that
    skips ahead (T - L occurrences make a candidate), and candidates are looked up in the long ones by binary search.
    Candidates already known to be connected are not looked up again, so a group of copies costs about one check per set.
-4. A group of more than ``block_shingles`` is dealt into blocks and every pair of blocks is searched in a task of its
+4. Passages that many texts share chain sets that never link into one group. A group of more than ``block_shingles`` is
+   narrowed first: its shingles are ordered by how many of its sets have them, and a set sends its first ones, of which
+   sets that link share at least one (the prefix bound); the components of these are the groups then. One that is still
+   larger is dealt into blocks and every pair of blocks is searched in a task of its
    own; the links found are joined by components again. For components the search finds a spanning set of links only;
    ``links`` verifies every candidate and gives every link between classes, and ``link_counts`` each document's number.
 
@@ -37,7 +40,7 @@ from math import exp, log, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, blocks, delete, release, scratch, small_batches
@@ -312,6 +315,34 @@ def candidate_edges(docs: DataFrame, percent: int, width: int = 4) -> DataFrame:
     return sorted_.mapInArrow(stars, "a long, b long").distinct()
 
 
+def narrowed_edges(members: DataFrame, percent: int, width: int = 4) -> DataFrame:
+    """Star edges (a, b) between sets of one component that share one of the shingles each of them sends; members
+    (component, h1, text). Rows of other texts, and all but one of repeated rows, make no difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, "text", 2 << 20):
+            component, h1 = (batch.column(c).to_numpy() for c in ("component", "h1"))
+            sets = [x if len(x) and digest(x)[0] == h else x[:0] for x, h in zip(shingle_sets(texts, width), h1, strict=True)]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            flat, owner = np.concatenate(sets).view(np.int64), np.repeat(np.arange(len(sets)), sizes)
+            for a in range(0, len(flat), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                o = owner[part]
+                columns = [component[o], h1[o], sizes[o], flat[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["component", "h1", "n", "shingle"])
+
+    same = Window.partitionBy("component", "shingle")
+    rows = members.select("component", "h1", "text").mapInArrow(run, "component long, h1 long, n long, shingle long")
+    shared = rows.withColumn("sets", F.count(F.lit(1)).over(same)).where("sets > 1")
+    held = shared.groupBy("component", "h1", "n").agg(F.array_sort(F.collect_set(F.struct("sets", "shingle"))).alias("held"))
+    # shingles that no other set has are the first in order, and need not be sent
+    first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - F.size("held"))
+    sent = held.withColumn("first", first.cast("int")).where("first > 0")
+    sent = sent.select("component", "h1", F.explode(F.slice("held", F.lit(1), F.col("first"))).alias("x"))
+    sent = sent.select("component", "h1", F.col("x.shingle").alias("shingle")).withColumn("a", F.min("h1").over(same))
+    return sent.where("a <> h1").select("a", F.col("h1").alias("b")).distinct()
+
+
 LINKS = ["doc_a", "doc_b", "common", "total", "key_a", "key_b", "copies_a", "copies_b"]
 
 
@@ -385,10 +416,19 @@ class _Join:
             "grouped",
         )
         release(self.spark)  # the parts' shuffle is the largest, and done
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.large = self.above(grouped, block_shingles, "large")
+        if not self.large.isEmpty():
+            members = grouped.join(self.large, "component", "left_semi").join(texts, "doc_id")
+            with small_batches(self.spark):
+                narrow = components(narrowed_edges(members, percent, width)).withColumnRenamed("component", "narrow")
+            inside = grouped.join(self.large.select("component", F.lit(True).alias("inside")), "component", "left")
+            inside = inside.join(narrow, F.col("h1") == F.col("node"), "left").where("inside IS NULL OR narrow IS NOT NULL")
+            group = F.when(F.col("inside"), F.col("narrow")).otherwise(F.col("component")).alias("component")
+            grouped = self.table(inside.select("doc_id", "h1", "n", "copies", group), "narrowed")
+            release(self.spark)
+            self.large = self.above(grouped, block_shingles, "larger")
         # groups above the limit are dealt into blocks; a task for each pair of blocks
-        self.large = self.table(
-            grouped.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > block_shingles), "large"
-        )
         dealt = grouped.join(self.large, "component", "left").withColumn(
             "count", F.coalesce(F.ceil(2 * F.col("total") / block_shingles), F.lit(1)).cast("int")
         )
@@ -403,10 +443,14 @@ class _Join:
             (F.col("side") != F.col("other")).alias("crossed"),
             F.xxhash64("component", low, high).alias("task"),
         )
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.found = self.table(_searched(dealt.join(texts, "doc_id"), percent, width, every), "links")
         release(self.spark)  # and that of the texts
 
+    def above(self, grouped: DataFrame, limit: int, name: str) -> DataFrame:
+        """The groups of more shingles than the limit."""
+        total = grouped.groupBy("component").agg(F.sum("n").alias("total"))
+        return self.table(total.where(F.col("total") > limit), name)
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self.made.append(scratch(self.spark, name))
         with small_batches(self.spark):

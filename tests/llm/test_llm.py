@@ -368,6 +368,19 @@ def test_jaccard_components(spark, texts, block):
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_jaccard_shared_passages_make_no_large_group(spark):
+    """Texts that share a passage only are one group by the parts; none is left when it is narrowed but those that link."""
+    passage = " ".join(f"p{k}" for k in range(24))
+    rest = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(40)]
+    texts = [f"{passage} {r}" for r in rest] + [f"{passage} {rest[7]} more", f"{passage} {rest[3]} other words"]
+    data = spark.createDataFrame([*enumerate(texts), (5, "another text"), (6, texts[6])], "doc_id long, text string").repartition(3)
+    join = jaccard._Join(data, 85, 4, 600, every=True)
+    assert join.large.isEmpty()
+    assert {(r.doc_a, r.doc_b) for r in join.found.collect()} == {(7, 40), (3, 41)}
+    got = jaccard.link_components(data, block_shingles=600).where("component_id <> doc_id").collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(40, 7), (41, 3)}
+
+
 def test_jaccard_search_is_brute_force():
     rng = np.random.default_rng(3)
     pool = jaccard.mixed(np.arange(1, 400, dtype=np.uint64))
