@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import strings as S
 from tessera.functions import text as T
-from tessera.operators import assign, blocking, classes, export, features, metrics, models, ranking, retrieval
+from tessera.operators import assign, blocking, boosting, classes, export, features, metrics, models, ranking, retrieval
 from tessera.plans import fixtures, pipeline, registry
 from tessera.sources import files
 from tessera.streaming import incremental
@@ -282,6 +282,28 @@ def test_model_separates(spark):
     assert models.better((0.5, "a"), (0.5, "b")) == "a"
 
 
+def test_boosting_grows_the_trees_of_spark(spark):
+    """The same scores as GBTClassifier's, in two tasks, with repeated rows, weights, a constant and a repeated column."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rng = random.Random(5)
+    rows = [(k, *(rng.randrange(n) / 8 for n in (30, 20, 12, 3)), 1.0) for k in range(3000)]
+    rows = [(*r, r[1], int(r[1] + r[2] * r[3] + rng.gauss(0, 0.6) > 3)) for r in rows]
+    columns = ["a", "b", "c", "d", "same", "again"]
+    pairs = spark.createDataFrame([*rows, *rows[:500]], ", ".join(f"{c} double" if c in columns else f"{c} int" for c in ["k", *columns, "label"]))
+    pairs = pairs.withColumn("_w", F.when(F.col("label") == 1, 3.0).otherwise(1.0)).cache()
+    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(pairs)
+    theirs = GBTClassifier(featuresCol="_v", labelCol="label", weightCol="_w", maxIter=8, maxDepth=4, stepSize=0.1).fit(vectors)
+    expected = {r.k: r.p for r in theirs.transform(vectors).select("k", vector_to_array("probability")[1].alias("p")).collect()}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(boosting, "TASK_ROWS", 1000)
+        own = models.train(pairs, columns, rounds=8, depth=4, rate=0.1)
+    got = {r.k: r.p for r in models.predict(own, pairs, columns, "p").select("k", "p").collect()}
+    assert own.getNumTrees == 8 and got == pytest.approx(expected, abs=1e-9)
+
+
 def test_models_are_registered_whole(spark, monkeypatch):
     train, asked = models.train, []
 
