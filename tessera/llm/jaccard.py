@@ -419,7 +419,8 @@ class _Join:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.large = self.above(grouped, block_shingles, "large")
         if not self.large.isEmpty():
-            members = grouped.join(self.large, "component", "left_semi").join(texts, "doc_id")
+            members = grouped.join(self.large, "component", "left_semi")
+            members = members.join(self.texts_of(members, texts), "doc_id")
             with small_batches(self.spark):
                 narrow = components(narrowed_edges(members, percent, width)).withColumnRenamed("component", "narrow")
             inside = grouped.join(self.large.select("component", F.lit(True).alias("inside")), "component", "left")
@@ -443,9 +444,16 @@ class _Join:
             (F.col("side") != F.col("other")).alias("crossed"),
             F.xxhash64("component", low, high).alias("task"),
         )
-        self.found = self.table(_searched(dealt.join(texts, "doc_id"), percent, width, every), "links")
+        self.found = self.table(_searched(dealt.join(self.texts_of(grouped, texts), "doc_id"), percent, width, every), "links")
         release(self.spark)  # and that of the texts
 
+    def texts_of(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """The texts under the members' ids. Up to ``BROADCAST_ROWS`` ids go to the texts, so that no other text is
+        shuffled; more meet all of them by a shuffle."""
+        if members.count() > BROADCAST_ROWS:
+            return texts
+        return texts.join(F.broadcast(members.select("doc_id")), "doc_id", "left_semi")
+
     def above(self, grouped: DataFrame, limit: int, name: str) -> DataFrame:
         """The groups of more shingles than the limit."""
         total = grouped.groupBy("component").agg(F.sum("n").alias("total"))

@@ -487,6 +487,43 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == expected and len(got) == len(expected)
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    """Few edges take a handful of jobs, however long their chains; more than the limit are joined by rounds, alike."""
+    rng = random.Random(8)
+    nodes = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(900)]
+    edges = [(nodes[i], nodes[i + 1]) for i in range(899) if i % 90] + rng.choices([(nodes[5], nodes[7]), (nodes[1], nodes[1])], k=9)
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    expected = {}
+    for i in range(0, 900, 90):
+        chain = nodes[i + 1 : i + 91]
+        expected |= {n: min(chain) for n in chain}
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        found = components.components(table)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 6
+    for got in (found.collect(), components.components(table, task_edges=10).collect()):
+        assert {r.node: r.component for r in got} == expected and len(got) == len(expected)
+    assert components.components(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_jaccard_shuffles_texts_of_groups_only(spark, monkeypatch, most):
+    """The texts searched are chosen by their ids before they are shuffled; where the ids are too many the result is the same."""
+    rng = random.Random(4)
+    rows = [(k, words_of(rng, 60, 5000)) for k in range(30)]
+    rows += [(30 + k, near(rng, rows[k][1], 1)) for k in range(6)]
+    rows.append((31, rows[12][1]))
+    plans, searched = [], jaccard._searched
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(jaccard, "_searched", lambda members, *a: plans.append(members._jdf.queryExecution().toString()) or searched(members, *a))
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_shingles=100)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
+    assert len(plans) == 1 and ("LeftSemi, BuildRight" in plans[0]) == (most > 0)
+
+
 # 5 WARC
 
 
